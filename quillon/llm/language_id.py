@@ -26,6 +26,8 @@ GRAM = 3
 SAMPLE_PER_LANGUAGE = 4000
 UNKNOWN = "und"
 ROWS = 64
+#: A document of less likeness to every language is rejected by accepted().
+MIN_SCORE = 0.02
 
 
 @lru_cache(1)
@@ -213,3 +215,19 @@ def identified(docs: DataFrame) -> DataFrame:
     is held out.
     """
     return predictions(docs, learn(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, profiles: Profiles, least: float = MIN_SCORE) -> DataFrame:
+    """The rows of docs, with all columns, that have letters and likeness to some language. No shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quiet_threads()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                names, score = profiles.predict([x or "" for x in part.column(at).to_pylist()])
+                keep = [name != UNKNOWN and s >= least for name, s in zip(names, score.tolist())]
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -135,3 +135,10 @@ def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (before dropping), n_dropped, kept_sha256. See deduplicated()."""
     out = deduplicated(docs.select("doc_id", "text"))
     return out.select("doc_id", F.col("qn_lines").alias("n_lines"), F.col("qn_dropped").alias("n_dropped"), F.sha2("qn_kept", 256).alias("kept_sha256"))
+
+
+def rewritten(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """docs with text (and n_chars, where there is one) replaced by what stays. Null text stays null."""
+    out = deduplicated(docs, batches)
+    new = {"text": F.when(F.col("text").isNotNull(), F.col("qn_kept")), "n_chars": F.char_length("qn_kept").cast("long")}
+    return out.select(*[(new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -202,3 +202,18 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     out = scores(docs, learn(docs, labels))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Classifier | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all columns, whose whole text scores threshold or more. No shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quiet_threads()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                keep = model.score([x or "" for x in part.column(at).to_pylist()]) >= threshold if model else [True] * len(part)
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, language_id, line_dedup, quality, simhash, syncmers, token_blocks, vector_search
+from quillon.llm import bpe, html_extract, language_id, line_dedup, packing, quality, simhash, syncmers, token_blocks, vector_search
 from quillon.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +62,10 @@ def op7_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -66,6 +74,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_syncmers, op3_quality, op4_line_dedup, op6_vector_search, op7_token_blocks, op9_byte_bpe, op10_simhash)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_syncmers, op3_quality, op4_line_dedup, op5_html_extract, op6_vector_search, op7_token_blocks, op8_best_fit_packing, op9_byte_bpe, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL}
