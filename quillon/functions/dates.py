@@ -49,15 +49,19 @@ PARENT = {"month": "year", "hour": "day", "minute": "hour", "second": "minute",
 BUCKETS = {"month": (6, 4, 2), "hour": (8, 4, 2), "minute": (30, 15, 6, 5, 4, 3, 2), "second": (30, 15, 10, 8, 6, 5, 4, 3, 2), "millisecond": (500, 250, 100, 50, 25, 10, 5, 2)}
 
 
+def micros(at: Column) -> Column:
+    return F.unix_micros(at.cast("timestamp"))
+
+
 def bucketed(size: int, unit: str, at: Column) -> Column:
     """The start of the bucket of size units, counted from the start of the parent unit. Months count from 0."""
     start = truncated(PARENT[unit], at)
     if unit == "month":
         months = F.floor((F.month(at) - 1) / size) * size
         return start + F.make_ym_interval(F.lit(0), months.cast("int"))
-    micros = F.timestampdiff("MICROSECOND", start, at)
     width = size * {"hour": 3_600_000_000, "minute": 60_000_000, "second": 1_000_000, "millisecond": 1_000}[unit]
-    return F.timestampadd("MICROSECOND", (F.floor(micros / width) * width).cast("long"), start).cast("timestamp_ntz")
+    since = micros(at) - micros(start)
+    return F.timestamp_micros(micros(start) + since - since % width).cast("timestamp_ntz")
 
 
 for _unit in (*SPARK_UNITS, *YEARS):
@@ -184,8 +188,9 @@ def age(later: Column, earlier: Column, unit: str | None) -> Column:
         raise QueryError(f"Expecting one of {', '.join(AGE_UNITS)}, got {unit!r}")
     low, high = F.least(later, earlier), F.greatest(later, earlier)
     sign = F.when(later < earlier, -1).otherwise(1)
-    months = F.timestampdiff("MONTH", low, high).cast("int")
-    rest = F.timestampdiff("MICROSECOND", low + F.make_ym_interval(F.lit(0), months), high)
+    within = lambda at: F.struct(F.dayofmonth(at), micros(at) - micros(truncated("day", at)))
+    months = ((F.year(high) - F.year(low)) * 12 + F.month(high) - F.month(low) - (within(high) < within(low)).cast("int")).cast("int")
+    rest = micros(high) - micros(low + F.make_ym_interval(F.lit(0), months))
     days = F.floor(rest / 86_400_000_000)
     seconds = (rest - days * 86_400_000_000) / 1e6
     level = AGE_UNITS.index(unit) if unit else -1
