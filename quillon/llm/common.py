@@ -77,6 +77,14 @@ def schema_of(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl) if hasattr(T, "_parse_datatype_string") else T.StructType.fromDDL(ddl)
 
 
+def quantiles(df: DataFrame, column: str, parts: int) -> list[int]:
+    """Distinct bounds, ascending, that cut a long column into about equal parts; none for an empty table."""
+    if parts < 2:
+        return []
+    wanted = [i / parts for i in range(1, parts)]
+    return sorted(set(df.agg(F.percentile_approx(column, wanted, 10_000)).first()[0] or []))
+
+
 def quiet_threads() -> None:
     """One thread for each Python worker: the cores belong to Spark's tasks. Few rounds of cycle search."""
     gc.set_threshold(100_000, 50, 100)

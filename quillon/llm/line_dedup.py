@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import new_path, shuffle_partitions, written
+from quillon.llm.common import new_path, quantiles, shuffle_partitions, written
 
 MIN_KEY = 10
 BATCHES = 4
@@ -92,10 +92,10 @@ def dropped_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc, body and the ascending positions (array) of the lines that go, where any goes."""
     spark = docs.sparkSession
     lines = long_lines(docs)
-    bounds = docs.select(document_key(F.col("doc_id")).alias("doc")).approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)
+    bounds = quantiles(docs.select(document_key(F.col("doc_id")).alias("doc")), "doc", batches)
     number = F.lit(0)
     for bound in bounds:
-        number = number + F.when(F.col("doc") > int(bound), 1).otherwise(0)
+        number = number + F.when(F.col("doc") > bound, 1).otherwise(0)
     stored = written(lines.withColumn("batch", number), "lines")
     runs = LineRuns(spark)
     for i in range(len(bounds) + 1):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import small_batches
-from quillon.llm.common import quiet_threads, shuffle_partitions
+from quillon.llm.common import quantiles, quiet_threads, shuffle_partitions
 
 K = 16
 SHORT, SHORT_K = 64, 4
@@ -125,7 +125,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = max(2, shuffle_partitions(spark))
-    bounds = sorted({int(b) for b in rows.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n)})
+    bounds = quantiles(rows, "key", n)
     part = F.lit(0)
     if bounds:
         part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: F.col("key") > b))
