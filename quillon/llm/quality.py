@@ -144,7 +144,8 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     marks = marks.groupBy("marked").agg(F.min("quality").alias("quality"))
     n = marks.count()
     marks = marks.where(hash_fraction(F.col("marked"), "quality sample") < min(1.0, rows / max(n, 1)))
-    return id_text(docs).join(marks, F.col("doc_id") == F.col("marked")).select("text", "quality")
+    # The marks are broadcast: about rows of them, whatever the tables' size. So no text is shuffled.
+    return id_text(docs).join(F.broadcast(marks), F.col("doc_id") == F.col("marked")).select("text", "quality")
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classifier | None:
