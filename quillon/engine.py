@@ -175,9 +175,9 @@ class Engine:
             while not done.wait(0.05):
                 left -= 0.05
                 if signal.is_set() or left <= 0:
-                    stopped.append("aborted" if signal.is_set() else "timed out")
-                    self.spark.interruptTag(tag)
-                    return
+                    if not stopped:
+                        stopped.append("aborted" if signal.is_set() else "timed out")
+                    self.spark.interruptTag(tag)  # again and again: a query still being planned has no job yet
 
         self.spark.addTag(tag)
         watcher = threading.Thread(target=watch, daemon=True)
