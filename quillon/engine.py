@@ -164,11 +164,12 @@ class Engine:
             yield held
 
     def run_with_abort(self, action, signal: threading.Event | None = None, timeout: float | None = None):
-        """action() in a job group that the signal or the timeout cancels."""
+        """action() under a job tag whose jobs the signal or the timeout cancels."""
         timeout = timeout if timeout is not None else CALLER_TIMEOUT if self.rules is not None else OWN_TIMEOUT
         tag, done = f"quillon-{uuid.uuid4().hex}", threading.Event()
         signal = signal or threading.Event()
         stopped: list[str] = []
+        context = self.spark.sparkContext
 
         def watch() -> None:
             left = timeout
@@ -177,9 +178,9 @@ class Engine:
                 if signal.is_set() or left <= 0:
                     if not stopped:
                         stopped.append("aborted" if signal.is_set() else "timed out")
-                    self.spark.interruptTag(tag)  # again and again: a query still being planned has no job yet
+                    context.cancelJobsWithTag(tag)  # again and again: a query still being planned has no job yet
 
-        self.spark.addTag(tag)
+        context.addJobTag(tag)
         watcher = threading.Thread(target=watch, daemon=True)
         watcher.start()
         try:
@@ -190,7 +191,7 @@ class Engine:
             raise
         finally:
             done.set()
-            self.spark.removeTag(tag)
+            context.removeJobTag(tag)
 
     # -- writes -------------------------------------------------------------------------------
 
