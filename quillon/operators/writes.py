@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from quillon.errors import QueryError
 from quillon.functions.geo import point_of
 from quillon.functions.json import rebuilt
+from quillon.functions.json_schema import is_valid
 from quillon.functions.registry import Scope, find_function, is_call
 from quillon.operators.filters import FilterScope, compile_filter, literal
 from quillon.plans.access import DeleteRule, InsertRule, UpdateRule, both
@@ -106,7 +107,20 @@ class Writer:
                 tests.append(c == F.lower(c))
             if checks.get("trimmed"):
                 tests.append(c == F.trim(c))
+            if checks.get("enum"):
+                tests.append(c.isin(*checks["enum"]))
         tests = [F.coalesce(t, F.lit(True)) for t in tests]
+        for column, checks in info.checks.items():
+            c = F.col(f"`{column}`")
+            if checks.get("notNull"):
+                tests.append(c.isNotNull())
+            if checks.get("jsonSchema"):
+                tests.append(is_valid(c, checks["jsonSchema"]) | c.isNull())
+            if checks.get("reference"):
+                target, theirs = checks["reference"]
+                known = self.catalog.table(target).df.select(F.col(f"`{theirs}`").alias("known__"))
+                if not rows.where(c.isNotNull()).join(known, c == F.col("known__"), "left_anti").isEmpty():
+                    raise QueryError(f"Insert/update on {info.name} violates the reference of {column} to {target}")
         if check_filter:
             tests.append(self.condition(info, check_filter))
         if tests and not rows.alias(ROOT).where(~reduce(Column.__and__, tests)).isEmpty():
