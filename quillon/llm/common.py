@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+ARROW_BATCH = "8m"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
@@ -50,8 +53,14 @@ def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def small_arrow_batches(df: DataFrame) -> None:
+    """Bound what a task holds of whole texts in Arrow form, in the JVM and in its Python worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that no extra column can clash with what an operator adds."""
+    small_arrow_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import chunks, small_batches
-from quillon.llm.common import hash_fraction, held_out, id_text, quiet_threads
+from quillon.llm.common import hash_fraction, held_out, id_text, quiet_threads, small_arrow_batches
 
 DIMENSIONS = 512
 GRAM = 3
@@ -220,6 +220,7 @@ def identified(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, profiles: Profiles, least: float = MIN_SCORE) -> DataFrame:
     """The rows of docs, with all columns, that have letters and likeness to some language. No shuffle."""
     at = docs.columns.index("text")
+    small_arrow_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quiet_threads()

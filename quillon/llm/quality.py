@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import small_batches
-from quillon.llm.common import hash_fraction, held_out, id_text, quiet_threads
+from quillon.llm.common import hash_fraction, held_out, id_text, quiet_threads, small_arrow_batches
 
 BUCKETS = 1 << 14
 WIDTH = 48
@@ -29,6 +29,8 @@ EPOCHS = 40
 SAMPLE_ROWS = 12_000
 SAMPLE_TASKS = 8
 CONTEXT = 2
+#: Words whose contexts are summed at once.
+CONTEXT_RUN = 1 << 15
 THRESHOLD = 0.3
 SHAPE = np.zeros(256, np.uint8)
 for _b in range(256):  # 0 mark, 1 lower case, 2 upper case, 3 digit, 4 beyond ASCII
@@ -69,11 +71,11 @@ def pooled(text: str, vectors: np.ndarray) -> np.ndarray:
     if not n:
         return out
     total, square, shape = np.zeros(WIDTH), np.zeros(WIDTH), np.zeros(WIDTH)
-    for at in range(0, n, 1 << 14):
-        some = vectors[words[at : at + (1 << 14)]]
+    for at in range(0, n, 1 << 12):
+        some = vectors[words[at : at + (1 << 12)]]
         total += some.sum(0, dtype=np.float64)
         square += (some * some).sum(0, dtype=np.float64)
-        shape += INDEX[shapes[at : at + (1 << 14)]].sum(0, dtype=np.float64)
+        shape += INDEX[shapes[at : at + (1 << 12)]].sum(0, dtype=np.float64)
     mean = total / n
     out[:WIDTH], out[WIDTH : 2 * WIDTH], out[2 * WIDTH : 3 * WIDTH] = mean, np.sqrt(np.maximum(square / n - mean * mean, 0)), shape / n
     distinct = len(np.unique(words))
@@ -138,6 +140,20 @@ def fit(x: np.ndarray, y: np.ndarray, vectors: np.ndarray) -> Classifier:
     return model
 
 
+def add_contexts(sums: np.ndarray, words: np.ndarray) -> None:
+    """Add to each word's row the index vectors of the words within CONTEXT places. BUCKETS stands for no word."""
+    for gap in range(1, CONTEXT + 1):
+        for at in range(0, len(words) - gap, CONTEXT_RUN):
+            near, far = words[at : at + CONTEXT_RUN][: len(words) - gap - at], words[at + gap : at + gap + CONTEXT_RUN]
+            real = (near < BUCKETS) & (far < BUCKETS)
+            for a, b in ((near[real], far[real]), (far[real], near[real])):
+                if len(a):
+                    order = np.argsort(a, kind="stable")
+                    a = a[order]
+                    first = np.flatnonzero(np.diff(a, prepend=-1))
+                    sums[a[first]] += np.add.reduceat(INDEX[b[order]], first)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """text and quality (0 or 1) of a sample of about rows labelled documents that are not held out."""
     marks = labels.select(F.col("doc_id").cast("long").alias("marked"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~held_out(F.col("marked")))
@@ -154,20 +170,24 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classi
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quiet_threads()
-        sums = np.zeros((BUCKETS, WIDTH), np.float32)
+        sums, held, size = np.zeros((BUCKETS, WIDTH), np.float32), [], 0
+        edge = np.full(CONTEXT, BUCKETS)  # between documents: no word
         for batch in batches:
             for text in batch.column(0):
-                words, _ = word_buckets(text.as_py() or "")
-                for gap in range(1, CONTEXT + 1):
-                    np.add.at(sums, words[:-gap], INDEX[words[gap:]])
-                    np.add.at(sums, words[gap:], INDEX[words[:-gap]])
+                held += [word_buckets(text.as_py() or "")[0], edge]
+                size += len(held[-2])
+                if size >= CONTEXT_RUN:
+                    add_contexts(sums, np.concatenate(held))
+                    held, size = [], 0
+        if held:
+            add_contexts(sums, np.concatenate(held))
         yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
 
     vectors = np.zeros((BUCKETS, WIDTH), np.float32)
     for row in sample.mapInArrow(contexts, "sums binary").collect():  # SAMPLE_TASKS rows at most
         vectors += np.frombuffer(row.sums, np.float32).reshape(BUCKETS, WIDTH)
     length = np.sqrt((vectors * vectors).sum(1, keepdims=True))
-    vectors = INDEX / np.sqrt(NONZERO) + vectors / np.maximum(length, 1e-6)
+    vectors = (INDEX / np.sqrt(NONZERO) + vectors / np.maximum(length, 1e-6)).astype(np.float32)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quiet_threads()
@@ -208,6 +228,7 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, model: Classifier | None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all columns, whose whole text scores threshold or more. No shuffle."""
     at = docs.columns.index("text")
+    small_arrow_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quiet_threads()
