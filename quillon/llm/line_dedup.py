@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import new_path, quantiles, shuffle_partitions, written
+from quillon.llm.common import new_path, quantiles, remove_path, shuffle_partitions, written, written_at
 
 MIN_KEY = 10
 BATCHES = 4
@@ -50,13 +50,24 @@ class LineRuns:
     def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
         self.spark, self.buckets = spark, buckets or shuffle_partitions(spark)
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
     def _write(self, rows: DataFrame) -> str:
         name = f"quillon_line_run_{uuid.uuid4().hex}"
+        self.paths[name] = new_path(self.spark, "run")
         dealt = rows.repartition(self.buckets, "h1")
-        dealt.write.bucketBy(self.buckets, "h1").sortBy("h1").option("path", new_path(self.spark, "run")).saveAsTable(name)
+        dealt.write.bucketBy(self.buckets, "h1").sortBy("h1").option("path", self.paths[name]).saveAsTable(name)
         return name
 
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        remove_path(self.spark, self.paths.pop(name))
+
+    def drop(self) -> None:
+        """Delete all runs."""
+        for name in list(self.paths):
+            self._drop(name)
+
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
@@ -77,7 +88,7 @@ class LineRuns:
                 merged = merged.unionByName(self.spark.table(other))
             name = self._write(merged)
             for old in self.levels[level]:
-                self.spark.sql(f"DROP TABLE {old}")
+                self._drop(old)
             self.levels[level] = []
             level += 1
 
@@ -96,12 +107,15 @@ def dropped_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     number = F.lit(0)
     for bound in bounds:
         number = number + F.when(F.col("doc") > bound, 1).otherwise(0)
-    stored = written(lines.withColumn("batch", number), "lines")
+    stored, path = written_at(lines.withColumn("batch", number), "lines")
     runs = LineRuns(spark)
     for i in range(len(bounds) + 1):
         runs.add(stored.where(F.col("batch") == i).select("doc", "h1", "h2"))
     gone = stored.join(runs.owners(), ["h1", "h2"]).where("owner < doc")
-    return written(gone.groupBy("doc", "body").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone")
+    out = written(gone.groupBy("doc", "body").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone")
+    runs.drop()
+    remove_path(spark, path)
+    return out
 
 
 def without(lines: Column, gone: Column) -> Column:
