@@ -75,8 +75,10 @@ class Writer:
     def __init__(self, engine: Engine) -> None:
         self.engine, self.catalog, self.spark = engine, engine.catalog, engine.spark
         self.before: dict[str, list[Callable]] = {}
-        self.after: dict[str, list[Hook]] = {}
+        self.after: dict[str, list[tuple[Hook, frozenset[str] | None]]] = {}
+        self.instead_of_delete: dict[str, Callable[[dict | None], None]] = {}
         self._active: set[str] = set()
+        self._committed: list[Callable[[], None]] | None = None
 
     # -- shared -------------------------------------------------------------------------------
 
@@ -142,16 +144,33 @@ class Writer:
 
     @contextmanager
     def transaction(self):
-        """All tables go back to what they were if the block raises."""
+        """All tables go back to what they were if the block raises; on_commit callbacks run if it doesn't."""
         kept = {name: info.df for name, info in self.catalog.tables.items()}
+        outer, self._committed = self._committed, []
         try:
             yield self
         except BaseException:
+            self._committed = outer
             for name, df in kept.items():
                 self.catalog.tables[name].df = df
             raise
+        calls, self._committed = self._committed, outer
+        for call in calls:
+            self.on_commit(call)
+
+    def on_commit(self, call: Callable[[], None]) -> None:
+        """Run call once the outermost transaction has ended well; at once outside of one."""
+        if self._committed is None:
+            call()
+        else:
+            self._committed.append(call)
+
+    def after_change(self, table: str, command: str, hook: Hook, changed_fields: Iterable[str] | None = None) -> None:
+        """Run hook(old table, rows written) after a write; of updates only those that set one of changed_fields."""
+        hook = (hook, None if changed_fields is None else frozenset(changed_fields))
+        self.after.setdefault(f"{table}.{command}", []).append(hook)
 
-    def swap(self, info: TableInfo, df: DataFrame, affected: DataFrame, command: str) -> None:
+    def swap(self, info: TableInfo, df: DataFrame, affected: DataFrame, command: str, fields: Iterable[str] = ()) -> None:
         """Take the new state, then run hooks; a hook that raises takes the table back. Hooks don't re-enter."""
         old = info.df
         info.df = df
@@ -160,8 +179,9 @@ class Writer:
             return
         self._active.add(key)
         try:
-            for hook in self.after.get(key, []):
-                hook(old, affected)
+            for hook, only in self.after.get(key, []):
+                if only is None or only & set(fields):
+                    hook(old, affected)
         except BaseException:
             info.df = old
             raise
@@ -170,10 +190,12 @@ class Writer:
 
     # -- insert -------------------------------------------------------------------------------
 
-    def insert(self, table: str, rows: dict | Iterable[dict] | DataFrame, on_conflict: str | dict | None = None, returning: object = None) -> DataFrame:
+    def insert(self, table: str, rows: dict | Iterable[dict] | DataFrame, on_conflict: str | dict | None = None, returning: object = None, parent: str | None = None) -> DataFrame:
         """Insert rows; absent columns take their default, or null. on_conflict: DoNothing, DoUpdate or
         {"action": ..., "conflictColumns": [...]}. Nested rows: see nested()."""
         info, rule = self.catalog.table(table), self.rule(table, "insert")
+        if rule.allowed_parents is not None and parent not in rule.allowed_parents:
+            raise QueryError(f"Rows of {table} may only be inserted within rows of {', '.join(rule.allowed_parents)}")
         if isinstance(rows, DataFrame):
             new, given = self.typed(info, rows, rule), [c for c in rows.columns]
         else:
@@ -182,7 +204,7 @@ class Writer:
                 data = [hook(r) for r in data]
             if rule.validate:
                 data = [rule.validate(dict(r)) for r in data]
-            data = [self.nested(info, r) for r in data]
+            data = [self.nested(info, r, rule) for r in data]
             new, given = self.literal_rows(info, data, rule)
         self.verify(info, new, rule.check_filter)
         state, affected = self.conflicts(info, new, given, on_conflict)
@@ -250,7 +272,7 @@ class Writer:
         if not new.where(reduce(Column.__and__, [F.col(f"`{c}`").isNotNull() for c in group])).groupBy(*group).count().where("count > 1").isEmpty():
             raise QueryError(f"duplicate key value violates unique constraint of {info.name} ({', '.join(group)})")
 
-    def nested(self, info: TableInfo, row: dict) -> dict:
+    def nested(self, info: TableInfo, row: dict, rule: InsertRule | UpdateRule) -> dict:
         """Rows of other tables within a row: referenced ones first (their key fills the column), children after.
 
         A column that refers to another table may hold that table's row; a key that names a table that
@@ -261,15 +283,19 @@ class Writer:
             targets = [(t, c) for t, cs in self.catalog.edges.get(info.name, {}).items() for c in cs if c[0][0] == key and len(c) == 1]
             if key in info.columns and isinstance(value, dict) and targets and not is_call(value) and not isinstance(info.dtype(key), (T.StructType, T.MapType)):
                 table, ((_, theirs),) = targets[0]
-                self.insert(table, value)
+                self.insert(table, value, parent=info.name)
                 out[key] = value[theirs]
             elif key not in info.columns and key in self.catalog.edges.get(info.name, {}):
                 children.append((key, [value] if isinstance(value, dict) else list(value)))
             else:
                 out[key] = value
+        for table, (least, most) in getattr(rule, "required_nested", {}).items():
+            n = sum(len(rows) for name, rows in children if name == table)
+            if n < least or (most is not None and n > most):
+                raise QueryError(f"{info.name} needs {least} to {most or 'any number of'} rows of {table}, got {n}")
         for table, rows in children:
             constraint = self.catalog.edges[info.name][table][0]
-            self.insert(table, [{**r, **{theirs: out[mine] for mine, theirs in constraint}} for r in rows])
+            self.insert(table, [{**r, **{theirs: out[mine] for mine, theirs in constraint}} for r in rows], parent=info.name)
         return out
 
     # -- update, upsert, delete ---------------------------------------------------------------
@@ -282,6 +308,10 @@ class Writer:
         if remove_disallowed:
             allowed = parse_fields(rule.fields, info.columns)
             data = {k: v for k, v in data.items() if k in allowed}
+        if any(isinstance(v, dict) and not is_call(v) and isinstance(info.dtype(k), T.AtomicType) and any(c[0][0] == k for cs in self.catalog.edges[table].values() for c in cs) for k, v in data.items() if k in info.columns):
+            if info.df.alias(ROOT).where(self.condition(info, forced)).limit(2).count() > 1:
+                raise QueryError("Nested inserts are only allowed in updates of one row")
+            data = self.nested(info, data, rule)
         if not rule.dynamic_fields:
             self.fields(info, [k for k in data if k not in rule.forced_data], rule)
         data = {**data, **rule.forced_data}
@@ -298,7 +328,7 @@ class Writer:
         if not multi and affected.limit(2).count() > 1:
             raise QueryError("More than 1 row modified")
         self.verify(info, affected, rule.check_filter)
-        self.swap(info, marked.select(*new), affected, "update")
+        self.swap(info, marked.select(*new), affected, "update", data)
         return self.returned(info, affected, returning)
 
     def dynamic(self, info: TableInfo, marked: DataFrame, rule: UpdateRule, data: dict) -> None:
@@ -336,6 +366,9 @@ class Writer:
     def delete(self, table: str, wanted: dict | None = None, returning: object = None) -> DataFrame:
         """Delete what the filter finds; without a filter everything."""
         info, rule = self.catalog.table(table), self.rule(table, "delete")
+        if table in self.instead_of_delete:
+            self.instead_of_delete[table](both(wanted, rule.forced_filter))
+            return self.returned(info, info.df.limit(0), returning)
         hit = self.condition(info, both(wanted, rule.forced_filter), rule.filter_fields)
         marked = info.df.alias(ROOT).select(f"{ROOT}.*", hit.alias("hit__"))
         affected = marked.where("hit__").select(*[F.col(f"`{c}`") for c in info.columns])

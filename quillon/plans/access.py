@@ -23,6 +23,8 @@ class InsertRule:
     forced_data: dict = field(default_factory=dict)
     validate: object = None  # row -> row
     check_filter: dict | None = None
+    required_nested: dict = field(default_factory=dict)  # child table -> (least, most or None) rows
+    allowed_parents: tuple | None = None  # if set: rows may only come nested in rows of these tables
 
 
 @dataclass(frozen=True)

@@ -65,7 +65,7 @@ def test_transactions_checks_and_hooks(e):
     with pytest.raises(QueryError, match="check"):
         e.write.insert("trades", {"id": 60, "price": -1.0})
     writer, seen = e.write, []
-    writer.after["symbols.insert"] = [lambda before, new: seen.append(new.count())]
+    writer.after_change("symbols", "insert", lambda before, new: seen.append(new.count()))
     writer.before["symbols.insert"] = [lambda row: {"id": row["id"].lower()}]
     writer.insert("symbols", {"id": "HOOK"})
     assert seen == [1] and ("hook",) in rows(e, "symbols")
@@ -84,3 +84,50 @@ def test_rules(e):
     assert {r[1] for r in rows(e, "trades")} == {"btc"} and (70, "eth", 1.0) not in rows(e, "trades")
     with pytest.raises(QueryError):
         e.as_caller({"trades": TableRules(SelectRule())}).write.delete("trades")
+
+
+def test_commit_callbacks_and_gates(e):
+    writer, seen = e.write, []
+    with writer.transaction():
+        writer.on_commit(lambda: seen.append("done"))
+        with writer.transaction():
+            writer.on_commit(lambda: seen.append("inner"))
+        assert seen == []
+    assert seen == ["done", "inner"]
+    with pytest.raises(ZeroDivisionError), writer.transaction():
+        writer.on_commit(lambda: seen.append("never"))
+        1 / 0
+    assert seen == ["done", "inner"]
+    writer.after_change("trades", "update", lambda old, new: seen.append("price"), changed_fields=["price"])
+    writer.update("trades", {"id": 1}, {"symbol": "eth"})
+    writer.update("trades", {"id": 1}, {"price": 2.0})
+    assert seen[2:] == ["price"]
+    writer.instead_of_delete["symbols"] = lambda wanted: seen.append(wanted)
+    writer.delete("symbols", {"id": "btc"})
+    assert seen[-1] == {"id": "btc"} and len(rows(e, "symbols")) == 3
+
+
+def test_nested_rules_and_nested_update(e):
+    rules = {"symbols": TableRules(SelectRule(), InsertRule(required_nested={"trades": (1, 2)})), "trades": TableRules(SelectRule(), InsertRule(allowed_parents=("symbols",)))}
+    c = e.as_caller(rules)
+    with pytest.raises(QueryError, match="needs 1 to 2"):
+        c.write.insert("symbols", {"id": "a"})
+    with pytest.raises(QueryError, match="only be inserted within"):
+        c.write.insert("trades", {"id": 90})
+    c.write.insert("symbols", {"id": "a", "trades": [{"id": 91}]})
+    assert (91, "a", None) in [tuple(r) for r in e.catalog.table("trades").df.collect()]
+    e.write.update("trades", {"id": 1}, {"symbol": {"id": "fresh"}})
+    assert ("fresh",) in rows(e, "symbols") and e.fetch("trades", {"id": 1}, {"select": ["symbol"], "returnType": "value"}) == "fresh"
+    with pytest.raises(QueryError, match="one row"):
+        e.write.update("trades", {}, {"symbol": {"id": "other"}})
+
+
+def test_server_functions():
+    from quillon.functions.server import ServerFunctions
+
+    functions = ServerFunctions()
+    functions.define("double", lambda args, _: args["x"] * 2, {"x": "number"}, allowed=lambda user: user == "admin")
+    assert functions.call("double", {"x": 2}, "admin") == 4 and functions.available("guest") == {}
+    for args, user in (({"x": "a"}, "admin"), ({}, "admin"), ({"x": 1}, "guest")):
+        with pytest.raises(QueryError):
+            functions.call("double", args, user)
