@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import small_batches
@@ -125,26 +125,26 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = max(2, shuffle_partitions(spark))
-    bounds = quantiles(rows, "key", n)
-    part = F.lit(0)
-    if bounds:
-        part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: F.col("key") > b))
-    dealt = rows.withColumn("part", part)
-    # One row for each part that has any.
-    order = F.struct("key", F.xxhash64("text").alias("tie"))
-    firsts = sorted((tuple(r.first), r.part) for r in dealt.groupBy("part").agg(F.min(order).alias("first")).collect())
-    out = dealt.withColumn("tie", F.xxhash64("text")).withColumn("extra", F.lit(False))
-    if firsts:
-        to = F.create_map(*[x for i, (_, own) in enumerate(firsts) for x in (F.lit(own), F.lit(firsts[i - 1][1]))])
-        heads = F.create_map(*[x for first, own in firsts for x in (F.lit(own), F.struct(F.lit(first[0]).cast("long").alias("key"), F.lit(first[1]).cast("long").alias("tie")))])
-        head = heads[F.col("part")]
-        is_first = (F.col("key") == head["key"]) & (F.col("tie") == head["tie"])
-        places = F.when(is_first, F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("extra")), F.struct(to[F.col("part")].alias("part"), F.lit(True).alias("extra"))))
-        places = places.otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("extra"))))
-        out = out.withColumn("place", F.explode(places)).select("key", "tie", "doc_id", "text", F.col("place.part").alias("part"), F.col("place.extra").alias("extra"))
+    dealt = rows.withColumn("part", part_of(F.col("key"), quantiles(rows, "key", n))).withColumn("tie", F.xxhash64("text"))
+    # One row for each part that has any, of which there are n at most: bounded, and so broadcast.
+    firsts = sorted((tuple(r.first), r.part) for r in dealt.groupBy("part").agg(F.min(F.struct("key", "tie")).alias("first")).collect())
+    heads = spark.createDataFrame([(own, key, tie, firsts[i - 1][1]) for i, ((key, tie), own) in enumerate(firsts)], "own int, head_key long, head_tie long, before int")
+    marked = dealt.join(F.broadcast(heads), F.col("part") == F.col("own"), "left")
+    place = lambda part, extra: F.struct(part.alias("part"), F.lit(extra).alias("extra"))
+    first = (F.col("key") == F.col("head_key")) & (F.col("tie") == F.col("head_tie"))
+    places = F.when(first, F.array(place(F.col("part"), False), place(F.col("before"), True))).otherwise(F.array(place(F.col("part"), False)))
+    out = marked.withColumn("place", F.explode(places)).select("key", "tie", "doc_id", "text", "place.part", "place.extra")
     return out.repartitionByRange(n, "part").sortWithinPartitions("part", "extra", "key", "tie").select("part", "doc_id", "text", "extra")
 
 
+def part_of(key: Column, bounds: list[int], first: int = 0) -> Column:
+    """How many of the ascending bounds lie under key, by a tree of comparisons as deep as a binary search."""
+    if not bounds:
+        return F.lit(first)
+    at = len(bounds) // 2
+    return F.when(key > bounds[at], part_of(key, bounds[at + 1 :], first + at + 1)).otherwise(part_of(key, bounds[:at], first))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprint every whole text, its edited text, and how near they and the next document are.
 

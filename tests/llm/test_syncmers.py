@@ -78,3 +78,11 @@ def test_next_wraps_round_for_any_partitioning(spark):
     for row in s.fingerprints(docs).collect():
         i = row.doc_id // 7
         assert row.edited_sha256 == hashlib.sha256(s.edited(rows[i][1], rows[(i + 1) % 50][1]).encode()).hexdigest()
+
+
+def test_part_of(spark):
+    from pyspark.sql import functions as F
+
+    bounds = [-5, 0, 3, 10, 11, 90]
+    rows = spark.range(-10, 100).select("id", s.part_of(F.col("id"), bounds).alias("part")).collect()
+    assert all(r.part == sum(r.id > b for b in bounds) for r in rows)
