@@ -143,13 +143,26 @@ def pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
     symbols[ends] = RESET
     auto = automaton()
     before = auto.states_before(symbols)
-    at = np.flatnonzero(auto.starts[before.astype(np.intp) * 9 + symbols])
+    starts = auto.starts[before.astype(np.intp) * 9 + symbols]
+    at = np.flatnonzero(starts)
     index = np.searchsorted(at, ends)  # every RESET starts a piece of its own
     counts = np.diff(index, prepend=-1) - 1
-    keep = np.ones(len(at), bool)
-    keep[index] = False
-    first, stop = at[keep].tolist(), np.append(at[1:], len(cps))[keep].tolist()
-    return [joined[a:b] for a, b in zip(first, stop)], counts
+    return cut(cps, starts, ends), counts
+
+
+def cut(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The runs from start to start, without what lies at ends: a mark goes before each, and one split cuts them all."""
+    mark = next((c for c in range(1, 0x250) if not (cps == c).any()), None)
+    if mark is None:
+        joined, places = cps.tobytes().decode("utf-32-le", "surrogatepass"), np.flatnonzero(starts)
+        keep = ~np.isin(places, ends)
+        return [joined[a:b] for a, b in zip(places[keep].tolist(), np.append(places[1:], len(cps))[keep].tolist())]
+    stay = np.ones(len(cps), bool)
+    stay[ends] = False
+    cps, starts = cps[stay], starts[stay]
+    marked = np.full(len(cps) + int(starts.sum()), mark, np.uint32)
+    marked[np.arange(len(cps)) + np.cumsum(starts)] = cps
+    return marked.tobytes().decode("utf-32-le", "surrogatepass").split(chr(mark))[1:]
 
 
 def chunks(texts: Iterable[str]) -> Iterator[list[str]]:

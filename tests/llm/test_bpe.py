@@ -34,6 +34,12 @@ def test_pieces_match_the_pattern():
     assert at == len(found)
 
 
+def test_texts_with_every_mark():
+    some = ["".join(map(chr, range(0x300))), "plain text", ""]
+    found, counts = bpe.pieces(some)
+    assert counts.tolist() == [len(regex.findall(P.PATTERN, t)) for t in some] and "".join(found) == "".join(some)
+
+
 def test_ids_match_the_library_and_decode():
     some, coder, other = texts(1500), bpe.codec(PATH), reference()
     for text, ids in zip(some, coder.encode(some)):
