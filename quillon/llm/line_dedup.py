@@ -137,7 +137,8 @@ def deduplicated(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     match = (document_key(docs["doc_id"]) == F.col("qn_doc")) & (F.xxhash64(docs["text"]) == F.col("qn_body"))
     lines = split_lines(docs["text"])
     whole = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.join(gone, match, "left").select(
+    # A merge join at every size: what goes grows with the corpus, so that no broadcast of it is bounded.
+    return docs.join(gone.hint("merge"), match, "left").select(
         *[docs[c] for c in docs.columns],
         F.size(lines).cast("long").alias("qn_lines"),
         F.coalesce(F.size("qn_gone"), F.lit(0)).cast("long").alias("qn_dropped"),
