@@ -198,6 +198,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     vertices = marks.groupBy("fp").agg(F.min("doc_id").alias("owner"))
     roots = components(links(vertices.where("owner IS NOT NULL")))
     named = vertices.join(roots, vertices.owner == roots.vertex, "left").select(F.col("fp").alias("vertex_fp"), F.coalesce("root", "owner").alias("component_id"))
+    # Written first: the join below then stands alone after its shuffles, so that Spark can split a
+    # fingerprint that very many documents share.
+    named = written(named, "components")
     return marks.join(named, marks.fp == named.vertex_fp).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
