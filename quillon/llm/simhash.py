@@ -211,5 +211,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     keep = near_duplicates(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_doc_id")).count()
     keep = written(keep, "kept")
-    left = docs.join(keep.select("kept_doc_id"), docs["doc_id"] == F.col("kept_doc_id"), "left_semi")
+    # A merge join at every size: what stays grows with the corpus, so that no broadcast of it is bounded.
+    left = docs.join(keep.select("kept_doc_id").hint("merge"), docs["doc_id"] == F.col("kept_doc_id"), "left_semi")
     return left if keep.where("count > 1").isEmpty() else left.dropDuplicates(["doc_id"])
