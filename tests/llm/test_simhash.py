@@ -84,3 +84,41 @@ def test_one_of_each(odd, none):
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and 5 in ids and not {6, 7} & set(ids) and 8 in ids and not {9, 10} & set(ids)
     assert simhash.one_of_each(none).count() == 0
+
+
+def near_texts(rng):
+    """Texts of many sizes with copies from slightly to much edited, and short ones."""
+    out = ["", " ", "one two", "One  two", "a b c d e", "a b c d e f", "a b c d f"]
+    for size in (6, 9, 14, 30, 80, 300, 900):
+        for _ in range(4):
+            words = [f"w{x}" for x in rng.integers(0, 5000, size)]
+            out.append(" ".join(words))
+            for edits in (0, 1, 2, size // 80, size // 50, size // 40, size // 20):
+                now = list(words)
+                for at in rng.integers(0, size, edits):
+                    now[at] = f"e{rng.integers(0, 5000)}"
+                out.append(" ".join(now + ["tail"] * int(rng.integers(0, 2))))
+    return out
+
+
+def test_stage_keeps_one_of_each_group_of_jaccard_080(spark):
+    rng = np.random.default_rng(11)
+    texts = near_texts(rng)
+    ids = rng.permutation(len(texts)).tolist()
+    sets = []
+    for t in texts:
+        words = t.lower().split()
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    best, changed = list(ids), True
+    links = [(i, j) for i in range(len(ids)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    while changed:
+        changed = False
+        for i, j in links:
+            low = min(best[i], best[j])
+            changed |= best[i] != low or best[j] != low
+            best[i] = best[j] = low
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    assert dict(simhash.near_copies(docs).collect()) == dict(zip(ids, best))
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(best)
+    far = [(i, j) for i, j in links if (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > simhash.RADIUS]
+    assert len(far) > 20  # what the operator's own radius would have kept
