@@ -3,7 +3,9 @@
 Every letter has a random vector of +1 and -1. An n-gram binds its letters' vectors, each permuted
 (rotated) by its place, by products; a document bundles its n-grams by a sum. A language's
 prototype is the sum of its training documents' unit vectors, less what all languages share. A
-document gets the language whose prototype has the largest cosine with it.
+document gets the language whose prototype has the largest cosine with it. What cosine a document
+must have to be accepted is learned as well: a low quantile of training documents' own, by language
+and by how many different n-grams a text has, since short texts have lower cosines.
 """
 
 from __future__ import annotations
@@ -26,8 +28,16 @@ GRAM = 3
 SAMPLE_PER_LANGUAGE = 4000
 UNKNOWN = "und"
 ROWS = 64
-#: A document of less likeness to every language is rejected by accepted().
+#: A document of less likeness to every language is rejected by accepted(), whatever was learned.
 MIN_SCORE = 0.02
+#: Share of the training texts of a language and size that the learned least likeness would reject.
+REJECTED = 0.005
+#: Fewer training texts of a size teach no least likeness.
+ENOUGH = 50
+#: Code points of the pieces of training documents that stand for short texts.
+PIECES = (8, 16, 32, 64, 128)
+#: Classes of size, by powers of two of different n-grams, and steps of likeness from -1 to 1.
+SIZES, STEPS = 12, 400
 
 
 @lru_cache(1)
@@ -93,19 +103,19 @@ def gram_memory() -> GramMemory:
     return GramMemory()
 
 
-def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A bundle for each text, and whether it has letters. Whole texts; memory follows the longest."""
-    out, lettered = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(texts), bool)
+def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A bundle for each text, whether it has letters, and its class of size. Whole texts; memory follows the longest."""
+    out, lettered, kinds = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(texts), bool), np.zeros(len(texts), np.int64)
     at = 0
     for run in chunks(texts):
         for lo in range(0, len(run), ROWS):
             some = run[lo : lo + ROWS]
-            _bundle(some, out[at : at + len(some)], lettered[at : at + len(some)])
+            _bundle(some, out[at : at + len(some)], lettered[at : at + len(some)], kinds[at : at + len(some)])
             at += len(some)
-    return out, lettered
+    return out, lettered, np.minimum(np.frexp(kinds)[1], SIZES - 1)
 
 
-def _bundle(texts: list[str], out: np.ndarray, lettered: np.ndarray) -> None:
+def _bundle(texts: list[str], out: np.ndarray, lettered: np.ndarray, kinds: np.ndarray) -> None:
     joined = "".join(f"\n{x}\n" for x in texts)
     cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(texts)), [len(x) + 2 for x in texts])
@@ -127,6 +137,7 @@ def _bundle(texts: list[str], out: np.ndarray, lettered: np.ndarray) -> None:
     distinct, place = np.unique(keys, return_inverse=True)
     memory = gram_memory()
     counts = np.bincount(owner * len(distinct) + place, minlength=len(texts) * len(distinct)).astype(np.float32).reshape(len(texts), -1)
+    kinds += np.count_nonzero(counts, axis=1)
     rows = memory.rows(distinct)
     out += counts @ memory.vectors[rows]
 
@@ -141,16 +152,23 @@ class Profiles:
     languages: list[str]
     prototypes: np.ndarray  # unit rows
     shared: np.ndarray  # what is taken from each unit bundle first
+    least: np.ndarray | None = None  # likeness to be accepted, by language and class of size
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        vectors, lettered = bundles(texts)
+        names, score, _ = self.judge(texts)
+        return names, score
+
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score of each text, and whether it is as like that language as texts of it are."""
+        vectors, lettered, sizes = bundles(texts)
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         near = unit(unit(vectors) - self.shared) @ self.prototypes.T
         best = near.argmax(1)
         score = np.clip(near[np.arange(len(texts)), best], 0, 1)
         names = [self.languages[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), lettered.tolist())]
-        return names, np.where(lettered, score, 0.0)
+        like = lettered if self.least is None else lettered & (score >= self.least[best, sizes])
+        return names, np.where(lettered, score, 0.0), like
 
 
 def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
@@ -158,7 +176,8 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
 
     The sample is bounded by per_language for each language (in expectation), whatever the table's
     size and however uneven the languages: its members are those of least hash of doc_id. Sums are
-    made in the tasks; a row for each task and language comes to the driver's aggregate.
+    made in the tasks; a row for each task and language comes to the driver's aggregate. The sample is
+    read again for calibrated().
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -173,7 +192,7 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                vectors, lettered = bundles([x or "" for x in part.column(0).to_pylist()])
+                vectors, lettered, _ = bundles([x or "" for x in part.column(0).to_pylist()])
                 vectors, langs = unit(vectors), np.array(part.column(1).to_pylist(), object)
                 for lang in set(langs.tolist()):
                     mine = (langs == lang) & lettered
@@ -192,7 +211,58 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
     languages, grid = [x for x, ok in zip(languages, good) if ok], grid[good]
     means = grid[:, :-1] / grid[:, -1:]
     shared = means.mean(0) if len(languages) > 1 else np.zeros(DIMENSIONS)
-    return Profiles(languages, unit(means - shared), shared)
+    profiles = Profiles(languages, unit(means - shared), shared)
+    profiles.least = calibrated(sample.select("text", "lang"), profiles, means, grid[:, -1])
+    return profiles
+
+
+def calibrated(sample: DataFrame, profiles: Profiles, means: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Least likeness by language and class of size, from the sample's texts and pieces of them.
+
+    A text's likeness is taken to prototypes without it. Where a language has too few texts of a
+    size, all languages' count; where these are too few, what the next smaller size asks, which is
+    less, and MIN_SCORE below all sizes.
+    """
+    total = len(profiles.languages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quiet_threads()
+        seen = np.zeros((total, SIZES, STEPS), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                pairs = [(x, profiles.languages.index(y)) for x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if y in profiles.languages]
+                texts, own = [x for x, _ in pairs], np.array([y for _, y in pairs], np.int64)
+                whole, lettered, sizes = bundles(texts)
+                whole = unit(whole)
+                n = counts[own][:, None]
+                mean = (means[own] * n - whole) / np.maximum(n - 1, 1)
+                shared = profiles.shared + (mean - means[own]) / total if total > 1 else np.zeros((len(texts), DIMENSIONS))
+                prototype, known = unit(mean - shared), n[:, 0] > 1
+                for length in (None, *PIECES):
+                    if length is None:
+                        vectors, ok, kinds = whole, lettered & known, sizes
+                    else:
+                        # From the middle: what begins texts of one collection is often the same.
+                        vectors, ok, kinds = bundles([x[len(x) // 2 : len(x) // 2 + length] for x in texts])
+                        vectors, ok = unit(vectors), ok & known & (np.array(list(map(len, texts)), np.int64) > length)
+                    near = (unit(vectors - shared) * prototype).sum(1)
+                    step = np.clip((near + 1) / 2 * STEPS, 0, STEPS - 1).astype(np.int64)
+                    np.add.at(seen, (own[ok], kinds[ok], step[ok]), 1)
+        place = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(seen.ravel()[place], pa.int64())], ["place", "n"])
+
+    seen = np.zeros(total * SIZES * STEPS, np.int64)
+    for r in sample.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        seen[r.place] = r.n
+    seen = seen.reshape(total, SIZES, STEPS)
+    seen = np.where(seen.sum(2, keepdims=True) >= ENOUGH, seen, seen.sum(0))
+    amount = seen.sum(2)
+    step = (seen.cumsum(2) <= REJECTED * amount[..., None]).sum(2)  # the step that holds the quantile
+    least = np.where(amount >= ENOUGH, np.maximum(step / STEPS * 2 - 1, MIN_SCORE), 0)
+    for size in range(1, SIZES):
+        least[:, size] = np.where(amount[:, size] >= ENOUGH, least[:, size], least[:, size - 1])
+    return np.maximum(least, MIN_SCORE)
 
 
 def predictions(docs: DataFrame, profiles: Profiles) -> DataFrame:
@@ -218,7 +288,11 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, profiles: Profiles, least: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs, with all columns, that have letters and likeness to some language. No shuffle."""
+    """The rows of docs, with all columns, that have letters and likeness to some language.
+
+    A text is like a language if its cosine is one that texts of that language and size have (calibrated()),
+    and least at least. No shuffle.
+    """
     at = docs.columns.index("text")
     small_arrow_batches(docs)
 
@@ -227,8 +301,8 @@ def accepted(docs: DataFrame, profiles: Profiles, least: float = MIN_SCORE) -> D
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                names, score = profiles.predict([x or "" for x in part.column(at).to_pylist()])
-                keep = [name != UNKNOWN and s >= least for name, s in zip(names, score.tolist())]
+                names, score, like = profiles.judge([x or "" for x in part.column(at).to_pylist()])
+                keep = [name != UNKNOWN and s >= least and ok for name, s, ok in zip(names, score.tolist(), like.tolist())]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -46,6 +46,24 @@ def test_language_on_odd_rows(odd, none, odd_rows):
     assert kept.columns == odd.columns and not {8, 9, 10, 11} & {r.doc_id for r in kept.collect()}
 
 
+def test_texts_like_no_language_are_rejected(tables, spark):
+    import random
+
+    docs, labels = tables
+    profiles = language_id.learn(docs)
+    rng = random.Random(7)
+    letters = {"latin": (97, 122), "cyrillic": (0x430, 0x44F), "greek": (0x3B1, 0x3C9), "arabic": (0x627, 0x64A), "cjk": (0x4E00, 0x9FA5)}
+    word = lambda a, b: "".join(chr(rng.randint(a, b)) for _ in range(rng.randint(2, 9)))
+    rows = [(name, size, " ".join(word(*span) for _ in range(size))) for name, span in letters.items() for size in (30, 300) for _ in range(40)]
+    strange = spark.createDataFrame(rows, "script string, size int, text string")
+    kept = [tuple(r) for r in language_id.accepted(strange, profiles).groupBy("script", "size").count().collect()]
+    assert all(n <= 2 for _, _, n in kept), kept
+    clean = docs.join(labels.where("quality = 1"), "doc_id").select("doc_id", "text")
+    assert language_id.accepted(clean, profiles).count() >= 0.98 * clean.count()
+    short = clean.selectExpr("doc_id", "substring(text, 101, 40) AS text").where("length(text) = 40")
+    assert language_id.accepted(short, profiles).count() >= 0.95 * short.count()
+
+
 def test_quality_of_held_out_documents(tables):
     docs, labels = tables
     got = quality.classified(docs, labels).join(labels, "doc_id").toPandas()
