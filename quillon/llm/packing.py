@@ -17,7 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import quiet_threads
+from quillon.llm.bpe import encode_pieces
+from quillon.llm.common import quiet_threads, small_arrow_batches, written
+from quillon.llm.simhash import near_copies
+from quillon.llm.token_blocks import library_cache
 
 CAPACITY = 2048
 SHARD_DOCUMENTS = 2048
@@ -103,3 +106,35 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, tokens: Column | None = No
         return pa.table([pa.array(x, t) for x, t in zip(zip(*found), kinds)], ["doc_id", "piece", "first_token", "n_tokens", "bin_id", "slot"])
 
     return rows.groupBy("shard").applyInArrow(run, SCHEMA)
+
+
+def token_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id, source, cluster (a hash of the text), tokens of every row: ids of the whole text and one for its end."""
+    small_arrow_batches(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quiet_threads()
+        cache = library_cache(tokenizer_path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                counts = [len(ids) + 1 for ids in encode_pieces(part.column(3).to_pylist(), cache)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(counts, pa.int64())], ["doc_id", "source", "cluster", "tokens"])
+
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), F.xxhash64(text).alias("cluster"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, source string, cluster long, tokens long")
+
+
+def packed_by_ids(docs: DataFrame, tokenizer_path: str, clusters: bool = True, capacity: int = CAPACITY) -> DataFrame:
+    """packed(), where a document's length is its token ids' number and one, so that a bin is a training sequence.
+
+    clusters: groups of near copies share no bin; without, only exact copies, for documents of which
+    one of each group is left. Rows without doc_id have the cluster of their text.
+    """
+    rows = written(token_lengths(docs, tokenizer_path), "lengths")
+    if clusters:
+        groups = near_copies(docs).groupBy(F.col("doc_id").alias("member")).agg(F.min("component_id").alias("component"))
+        rows = rows.join(groups.hint("merge"), F.col("doc_id") == F.col("member"), "left").select("doc_id", "source", F.coalesce("component", "cluster").alias("cluster"), "tokens")
+        rows = written(rows, "clustered")
+    return packed(rows, capacity, rows["tokens"], rows["source"], rows["cluster"])

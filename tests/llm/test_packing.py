@@ -48,3 +48,28 @@ def test_shards_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_DOCUMENTS", 10)
     docs = spark.createDataFrame([(i, "w " * (i % 9), f"s{i % 40}") for i in range(300)], "doc_id long, text string, source string")
     assert packing.packed(docs).selectExpr("shiftright(bin_id, 32) AS shard").distinct().count() > 20
+
+
+def test_bins_bound_token_ids_and_hold_no_near_copies(spark, odd, none, odd_rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    count = lambda text: len(tokenizer.encode(text or "", add_special_tokens=False).ids) + 1
+    got = packing.packed_by_ids(odd, path, capacity=64).collect()
+    assert sum(r.n_tokens for r in got) == sum(count(t) for _, t, *_ in odd_rows)
+    assert packing.packed_by_ids(none, path).count() == 0
+    words = [f"w{i * 37 % 101}" for i in range(100)]
+    rows = [(1, " ".join(words), None), (2, " ".join(words + ["more"]), None), (3, "漢字" * 4000, "s")]
+    rows += [(10 + i, f"other {i}", None) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed = packing.packed_by_ids(docs, path).collect()
+    assert {i: sum(r.n_tokens for r in placed if r.doc_id == i) for i, *_ in rows} == {i: count(t) for i, t, _ in rows}
+    assert len([r for r in placed if r.doc_id == 3]) > 1
+    load = Counter()
+    for r in placed:
+        load[r.bin_id] += r.n_tokens
+    assert max(load.values()) <= packing.CAPACITY
+    assert not {r.bin_id for r in placed if r.doc_id == 1} & {r.bin_id for r in placed if r.doc_id == 2}
