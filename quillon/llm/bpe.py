@@ -7,8 +7,8 @@ Pre-tokenisation follows the well-known pattern
 without a regex. Every code point gets a class from a table, and a symbol from its class and its
 next characters. A small automaton reads the symbols; its transition functions form a finite
 monoid, so the state before every character comes from an associative scan: prefix products inside
-blocks (all blocks at once), then over the blocks' totals. Slices between boundaries feed a cache
-of merged pieces.
+blocks (all blocks at once), then over the blocks' totals. Slices between boundaries are looked up
+in a table of merged pieces, all at once.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ class Automaton:
         self.apply = np.array(fns, np.uint8).reshape(-1)
         self.product = np.array([[found[tuple(g[y] for y in f)] for g in fns] for f in fns], np.uint8).reshape(-1)
         self.generator = np.array([found[g] for g in gens], np.uint8)
-        self.starts = np.array([[step(s, x)[1] for x in range(9)] for s in states], bool).reshape(-1)
+        self.starts = np.array([[x < 9 and step(s, x)[1] for x in range(16)] for s in states], bool).reshape(-1)
 
     def states_before(self, symbols: np.ndarray) -> np.ndarray:
         n, k = len(symbols), self.size
@@ -123,10 +123,12 @@ def class_table() -> np.ndarray:
     return out
 
 
-def pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """The pieces of all texts in order, and how many each text has."""
+def boundaries(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts as UTF-8, each with a zero byte after it; first byte and length of each piece, in order; pieces of each text."""
     joined = "\0".join(texts) + "\0"
-    cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    raw = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+    ascii_only = len(raw) == len(joined)
+    cps = raw if ascii_only else np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
     symbols = class_table()[cps]
     symbols[ends] = WHITE  # for the lookahead only: at a text's end a white run is whole
@@ -138,31 +140,32 @@ def pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
     if len(quotes):
         one = cps[quotes + 1]
         two = cps[np.minimum(quotes + 2, len(cps) - 1)]
-        symbols[quotes[np.isin(one, (115, 116, 109, 100))]] = QUOTE_1
+        symbols[quotes[(one == 115) | (one == 116) | (one == 109) | (one == 100)]] = QUOTE_1
         symbols[quotes[((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)]] = QUOTE_2
     symbols[ends] = RESET
     auto = automaton()
     before = auto.states_before(symbols)
-    starts = auto.starts[before.astype(np.intp) * 9 + symbols]
-    at = np.flatnonzero(starts)
-    index = np.searchsorted(at, ends)  # every RESET starts a piece of its own
-    counts = np.diff(index, prepend=-1) - 1
-    return cut(cps, starts, ends), counts
-
-
-def cut(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
-    """The runs from start to start, without what lies at ends: a mark goes before each, and one split cuts them all."""
-    mark = next((c for c in range(1, 0x250) if not (cps == c).any()), None)
-    if mark is None:
-        joined, places = cps.tobytes().decode("utf-32-le", "surrogatepass"), np.flatnonzero(starts)
-        keep = ~np.isin(places, ends)
-        return [joined[a:b] for a, b in zip(places[keep].tolist(), np.append(places[1:], len(cps))[keep].tolist())]
-    stay = np.ones(len(cps), bool)
-    stay[ends] = False
-    cps, starts = cps[stay], starts[stay]
-    marked = np.full(len(cps) + int(starts.sum()), mark, np.uint32)
-    marked[np.arange(len(cps)) + np.cumsum(starts)] = cps
-    return marked.tobytes().decode("utf-32-le", "surrogatepass").split(chr(mark))[1:]
+    at = np.flatnonzero(auto.starts[(before << 4) + symbols])
+    counts = np.diff(np.searchsorted(at, ends), prepend=-1) - 1  # every RESET starts a piece of its own
+    if ascii_only:
+        first, stop = at, np.append(at[1:], len(raw))
+    else:
+        widths = np.ones(len(cps), np.int8)
+        for bound in (0x80, 0x800, 0x10000):
+            widths += cps >= bound
+        place = np.cumsum(widths, dtype=np.int64) - widths
+        first = place[at]
+        stop = np.append(first[1:], len(raw))
+    keep = symbols[at] != RESET
+    first = first[keep]
+    return raw, first, stop[keep] - first, counts
+
+
+def pieces(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The pieces of all texts in order, and how many each text has."""
+    raw, first, lengths, counts = boundaries(texts)
+    data = raw.tobytes()
+    return [data[a : a + n].decode("utf-8", "surrogatepass") for a, n in zip(first.tolist(), lengths.tolist())], counts
 
 
 def chunks(texts: Iterable[str]) -> Iterator[list[str]]:
@@ -178,29 +181,134 @@ def chunks(texts: Iterable[str]) -> Iterator[list[str]]:
         yield run
 
 
-class PieceCache:
-    """Piece to ids (little-endian int32 bytes), in two generations: memory is bounded, frequent pieces stay."""
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (length of them) for each row, joined."""
+    out = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    out += np.arange(len(out))
+    return out
+
+
+class PieceTable:
+    """Ids of every piece seen, found for whole arrays of pieces at once.
+
+    A piece of up to SHORT bytes is its own key: 16 bytes, its length in the last. Keys lie in an open
+    addressing table and are compared whole. Longer pieces lie in a dict. Memory is bounded: past
+    LIMIT pieces, the table is emptied and fills again from what comes.
+    """
 
-    def __init__(self, encode_all, limit: int = 500_000) -> None:
-        self.encode_all, self.limit = encode_all, limit
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    SHORT, LIMIT, BITS = 15, 1_000_000, 21
+    #: Pieces looked up at once: with LIMIT they fill under two thirds of the table.
+    RUN = 1 << 18
+    MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    # Odd multipliers of well-known 64-bit mixers.
+    MIX_1, MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+    def __init__(self, encode_all) -> None:
+        """encode_all: from distinct pieces (bytes) to their ids (little-endian int32 bytes)."""
+        self.encode_all = encode_all
+        self.clear()
+
+    def clear(self) -> None:
+        self.low = np.zeros(1 << self.BITS, np.uint64)
+        self.high = np.zeros(1 << self.BITS, np.uint64)  # zero: a free slot, as no piece is empty
+        self.entry = np.zeros(1 << self.BITS, np.int32)
+        self.long: dict[bytes, int] = {}
+        self.size, self.used = 0, 0
+        self.start = np.zeros(1 << 12, np.int64)
+        self.count = np.zeros(1 << 12, np.int64)
+        self.ids = np.zeros(1 << 14, np.int32)
+
+    def add(self, found: list[bytes]) -> np.ndarray:
+        """New entries for distinct pieces."""
+        made = self.encode_all(found)
+        counts = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        total = int(counts.sum())
+        while self.size + len(made) > len(self.start):
+            self.start, self.count = np.append(self.start, np.zeros_like(self.start)), np.append(self.count, np.zeros_like(self.count))
+        while self.used + total > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        mine = np.arange(self.size, self.size + len(made))
+        self.start[mine] = self.used + np.cumsum(counts) - counts
+        self.count[mine] = counts
+        self.ids[self.used : self.used + total] = np.frombuffer(b"".join(made), "<i4")
+        self.size, self.used = self.size + len(made), self.used + total
+        return mine
+
+    def slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        mixed = (low ^ (high * self.MIX_2)) * self.MIX_1
+        return ((mixed ^ (mixed >> np.uint64(29))) * self.MIX_2 >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def lookup(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 where it has none."""
+        slots = self.slot(low, high)
+        out = np.where((self.low[slots] == low) & (self.high[slots] == high), self.entry[slots], -1)
+        open_ = np.flatnonzero((out < 0) & (self.high[slots] != 0))
+        while len(open_):
+            slots[open_] = (slots[open_] + 1) & ((1 << self.BITS) - 1)
+            at = slots[open_]
+            hit = (self.low[at] == low[open_]) & (self.high[at] == high[open_])
+            out[open_[hit]] = self.entry[at[hit]]
+            open_ = open_[~hit & (self.high[at] != 0)]
+        return out
 
-    def of(self, found: list[str]) -> dict[str, bytes]:
-        """A mapping that has every piece in found."""
-        if len(self.new) >= self.limit:
-            self.old, self.new = self.new, {}
-        missing = set(found).difference(self.new)
-        if missing:
-            fresh = []
-            for p in missing:
-                got = self.old.get(p)
-                if got is None:
-                    fresh.append(p)
-                else:
-                    self.new[p] = got
-            self.new.update(zip(fresh, self.encode_all(fresh)))
-        return self.new
+    def insert(self, low: np.ndarray, high: np.ndarray, entries: np.ndarray) -> None:
+        """Distinct new keys."""
+        slots = self.slot(low, high)
+        left = np.arange(len(low))
+        while len(left):
+            at = slots[left]
+            free = self.high[at] == 0
+            mine = left[free]
+            self.low[at[free]], self.high[at[free]], self.entry[at[free]] = low[mine], high[mine], entries[mine]
+            # Of several that took one slot the last stands; the others go on, as do those that found it taken.
+            lost = (self.entry[at] != entries[left]) | (self.low[at] != low[left]) | (self.high[at] != high[left])
+            left = left[lost]
+            slots[left] = (slots[left] + 1) & ((1 << self.BITS) - 1)
+
+    def entries(self, raw: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The entry of each piece of raw, which has 16 bytes more than its pieces; at most RUN pieces."""
+        if self.size > self.LIMIT:
+            self.clear()
+        words = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+        low = words[first] & self.MASKS[np.minimum(lengths, 8)]
+        high = lengths.astype(np.uint64) << np.uint64(56)
+        over = np.flatnonzero(lengths > 8)
+        high[over] |= words[first[over] + 8] & self.MASKS[np.minimum(lengths[over], self.SHORT) - 8]
+        out = self.lookup(low, high)
+        long = np.flatnonzero(lengths > self.SHORT)
+        out[long] = 0
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            order = missing[np.lexsort((low[missing], high[missing]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
+            one = order[new]
+            mine = self.add([raw[a : a + n].tobytes() for a, n in zip(first[one].tolist(), lengths[one].tolist())])
+            self.insert(low[one], high[one], mine)
+            out[order] = mine[np.cumsum(new) - 1]
+        if len(long):
+            data = [raw[a : a + n].tobytes() for a, n in zip(first[long].tolist(), lengths[long].tolist())]
+            fresh = [x for x in dict.fromkeys(data) if x not in self.long]
+            if fresh:
+                self.long.update(zip(fresh, self.add(fresh).tolist()))
+            out[long] = np.fromiter(map(self.long.__getitem__, data), np.int64, len(data))
+        return out
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, joined, and how many each text has. Memory follows the texts given, which stay whole."""
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for run in chunks(texts):
+            raw, first, lengths, counts = boundaries(run)
+            raw = np.append(raw, np.zeros(16, np.uint8))
+            amounts = np.zeros(len(first) + 1, np.int64)
+            for at in range(0, len(first), self.RUN):
+                some = self.entries(raw, first[at : at + self.RUN], lengths[at : at + self.RUN])
+                n = self.count[some]
+                ids.append(self.ids[ragged(self.start[some], n)])
+                amounts[at + 1 : at + 1 + len(some)] = n
+            total, stops = np.cumsum(amounts), np.cumsum(counts)
+            sizes.append(total[stops] - total[stops - counts])
+        return np.concatenate(ids), np.concatenate(sizes)
 
 
 class PairTable:
@@ -341,20 +449,6 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ranks[piece[start[i] : end[i]]] for i in range(n) if alive[i])
 
 
-def encode_pieces(texts: list[str], cache: PieceCache) -> list[np.ndarray]:
-    """Ids of each text as int32 arrays. Memory follows the texts given, which stay whole."""
-    found, counts = [], []
-    for run in chunks(texts):
-        some, n = pieces(run)
-        found += some
-        counts += n.tolist()
-    get, at, out = cache.of(found).__getitem__, 0, []
-    for n in counts:
-        out.append(np.frombuffer(b"".join(map(get, found[at : at + n])), "<i4"))
-        at += n
-    return out
-
-
 class Codec:
     """Ranks of a vocabulary file in the tiktoken format (lines of base64 token, space, rank)."""
 
@@ -366,10 +460,17 @@ class Codec:
             self.tokens[rank] = token
         table, byte_ids = PairTable(self.ranks), np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.decimal = [str(i) for i in range(len(self.tokens))]
-        self.cache = PieceCache(lambda some: merge_all([p.encode("utf-8", "surrogatepass") for p in some], self.ranks, table, byte_ids))
+        self.widths = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
+        self.table = PieceTable(lambda some: merge_all(some, self.ranks, table, byte_ids))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return encode_pieces(texts, self.cache)
+        """The ids of each text."""
+        ids, sizes = self.table.encode(texts)
+        return np.split(ids, np.cumsum(sizes)[:-1]) if texts else []
+
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
+        """First byte of each id's token in the decoded text, and the text's length."""
+        return np.append(0, np.cumsum(self.widths[ids]))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -386,15 +487,20 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Token ids of every whole text: doc_id, ids array<int>. Null text: no ids."""
+    """Token ids of every whole text: doc_id, ids array<int>, offsets array<int>. Null text: no ids.
+
+    offsets: first byte of each token in the text's UTF-8, and its length at the end, so that any run
+    of ids can be decoded to a known place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quiet_threads()
         coder = codec(vocabulary)
         for doc_ids, texts in small_batches(batches):
-            yield pa.RecordBatch.from_arrays([doc_ids, lists(coder.encode(texts))], ["doc_id", "ids"])
+            ids = coder.encode(texts)
+            yield pa.RecordBatch.from_arrays([doc_ids, lists(ids), lists([coder.offsets(x) for x in ids])], ["doc_id", "ids", "offsets"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return id_text(docs).mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>")
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[pa.Array, list[str]]]:

@@ -9,7 +9,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 ARROW_BATCH = "8m"
@@ -21,10 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     The cluster names it in spark.checkpoint.dir. Only where that is unset, as in tests on one
     machine, a folder of our own is made and set.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillon-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -41,18 +40,37 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
-    return written_at(df, name)[0]
+    return written_at(df, name, compression)[0]
 
 
-def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written_at(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Tables in the shared folder that go when the work that needs them is done."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            remove_path(self.spark, path)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = written_at(df, name)
+        self.paths.append(path)
+        return out
+
+
 def small_arrow_batches(df: DataFrame) -> None:
     """Bound what a task holds of whole texts in Arrow form, in the JVM and in its Python worker."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
@@ -82,8 +100,38 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def schema_of(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl) if hasattr(T, "_parse_datatype_string") else T.StructType.fromDDL(ddl)
+#: What a task's share of an input, as Catalyst estimates it (compressed files), should not pass by far.
+PART_BYTES = 128 << 20
+
+
+def part_count(df: DataFrame) -> int:
+    """Parts for an explicit repartitioning: the session's shuffle partitions, or more where the input's bytes ask for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 55  # what has no files counts as endless
+    return max(shuffle_partitions(df.sparkSession), -(-size // PART_BYTES) if known else 1)
+
+
+def in_doc_order(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """doc_id and text, dealt into parts that are ranges of doc_id and sorted within; rows without an id first.
+
+    Rows of one doc_id are in order of their text's hash, equal rows in that of their place in the
+    input, so that a range may end between any two rows, however many share an id.
+    """
+    rows = id_text(docs)
+    order = ("doc_id", F.xxhash64("text"), F.col("place"))
+    placed = rows.withColumn("place", F.monotonically_increasing_id())
+    return placed.repartitionByRange(parts or part_count(rows), *order).sortWithinPartitions(*order).select("doc_id", "text")
+
+
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """Names like those wanted that no column has, whatever its letters' case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def quantiles(df: DataFrame, column: str, parts: int) -> list[int]:

@@ -17,10 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.bpe import encode_pieces
 from quillon.llm.common import quiet_threads, small_arrow_batches, written
 from quillon.llm.simhash import near_copies
-from quillon.llm.token_blocks import library_cache
+from quillon.llm.token_blocks import library_encoder
 
 CAPACITY = 2048
 SHARD_DOCUMENTS = 2048
@@ -114,12 +113,12 @@ def token_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quiet_threads()
-        cache = library_cache(tokenizer_path)
+        encoder = library_encoder(tokenizer_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                counts = [len(ids) + 1 for ids in encode_pieces(part.column(3).to_pylist(), cache)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(counts, pa.int64())], ["doc_id", "source", "cluster", "tokens"])
+                _, sizes = encoder.encode(part.column(3).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sizes + 1)], ["doc_id", "source", "cluster", "tokens"])
 
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), F.xxhash64(text).alias("cluster"), text.alias("text"))

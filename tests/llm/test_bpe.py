@@ -53,11 +53,22 @@ def test_every_code_point_of_the_basic_plane():
     assert [x.tolist() for x in coder.encode(some)] == other.encode_ordinary_batch(some, num_threads=2)
 
 
-def test_cache_is_bounded():
-    cache = bpe.PieceCache(lambda some: [b"\1\0\0\0" for _ in some], limit=10)
-    for at in range(0, 100, 5):
-        cache.of([str(i) for i in range(at, at + 5)])
-    assert len(cache.new) + len(cache.old) <= 30
+def test_table_is_bounded_and_exact(monkeypatch):
+    rng, seen = random.Random(8), []
+    encode = lambda some: seen.extend(some) or [bytes([len(p) % 200, 1, 0, 0]) + p.ljust(-(-len(p) // 4) * 4, b"\7") for p in some]
+    monkeypatch.setattr(bpe.PieceTable, "LIMIT", 300)
+    monkeypatch.setattr(bpe.PieceTable, "BITS", 10)
+    monkeypatch.setattr(bpe.PieceTable, "RUN", 64)
+    table = bpe.PieceTable(encode)
+    for _ in range(60):
+        some = [" ".join("".join(rng.choice("abcé\0") for _ in range(rng.choice((1, 2, 7, 8, 9, 14, 15, 16, 40)))) for _ in range(20)) for _ in range(5)]
+        ids, sizes = table.encode(some)
+        at = 0
+        for text, n in zip(some, sizes.tolist()):
+            want = b"".join(encode([p.encode() for p in bpe.pieces([text])[0]]))
+            assert ids[at : at + n].tobytes() == want
+            at += n
+        assert at == len(ids) and table.size <= 300 + 64
 
 
 def test_query_on_odd_rows(odd, none, odd_rows):
@@ -69,4 +80,7 @@ def test_query_on_odd_rows(odd, none, odd_rows):
         want.append((doc_id is None, doc_id or 0, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
     assert got == sorted(want)
     assert bpe.digests(none, PATH).count() == 0
-    assert bpe.encoded(odd, PATH).where("doc_id = 12").first().ids == other.encode_ordinary("word")
+    row = bpe.encoded(odd, PATH).where("doc_id = 13").first()
+    text, raw = odd_rows[9][1], odd_rows[9][1].encode()
+    assert row.ids == other.encode_ordinary(text) and row.offsets[0] == 0 and row.offsets[-1] == len(raw)
+    assert all(other.decode_single_token_bytes(i) == raw[a:b] for i, a, b in zip(row.ids, row.offsets, row.offsets[1:]))
