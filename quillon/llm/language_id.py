@@ -20,14 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import chunks, small_batches
-from quillon.llm.common import hash_fraction, held_out, id_text, quiet_threads, small_arrow_batches
+from quillon.llm.common import Scratch, hash_fraction, held_out, id_text, quiet_threads, small_arrow_batches
 
 DIMENSIONS = 512
 GRAM = 3
-#: Bound of the training sample: about this many documents of each language, chosen by a hash of doc_id.
+#: Bounds of the training sample: about this many documents of each language, chosen by a hash of doc_id,
 SAMPLE_PER_LANGUAGE = 4000
+#: and of all languages together; of values of lang only the most frequent are learned, this many at most.
+SAMPLE_ROWS, MOST_LANGUAGES = 64_000, 512
 UNKNOWN = "und"
 ROWS = 64
+#: Different n-grams of a run of texts whose vectors are held at once.
+SLICE = 1 << 13
 #: A document of less likeness to every language is rejected by accepted(), whatever was learned.
 MIN_SCORE = 0.02
 #: Share of the training texts of a language and size that the learned least likeness would reject.
@@ -69,7 +73,7 @@ def gram_vectors(grams: np.ndarray) -> np.ndarray:
 
 
 class GramMemory:
-    """Vectors of n-grams seen by this worker, in blocks; emptied when LIMIT is passed."""
+    """Vectors of at most LIMIT n-grams seen by this worker; emptied when more come."""
 
     LIMIT = 60_000
 
@@ -81,16 +85,17 @@ class GramMemory:
         self.vectors = np.zeros((1024, DIMENSIONS), np.float32)
 
     def rows(self, keys: np.ndarray) -> np.ndarray:
-        """Rows of self.vectors for distinct n-gram keys."""
-        if len(self.row) > self.LIMIT:
-            self.clear()
+        """Rows of self.vectors for distinct n-gram keys, SLICE at most."""
         missing = [k for k in keys.tolist() if k not in self.row]
+        if len(self.row) + len(missing) > self.LIMIT:
+            self.clear()
+            missing = keys.tolist()
         if missing:
             wanted = np.array(missing, np.uint64)
             grams = np.stack([(wanted >> np.uint64(21 * (GRAM - 1 - j))) & np.uint64(0x1FFFFF) for j in range(GRAM)], 1)
             first = len(self.row)
             if first + len(missing) > len(self.vectors):
-                grown = np.zeros((2 * (first + len(missing)), DIMENSIONS), np.float32)
+                grown = np.zeros((min(2 * (first + len(missing)), self.LIMIT), DIMENSIONS), np.float32)
                 grown[:first] = self.vectors[:first]
                 self.vectors = grown
             self.vectors[first : first + len(missing)] = gram_vectors(grams)
@@ -136,10 +141,16 @@ def _bundle(texts: list[str], out: np.ndarray, lettered: np.ndarray, kinds: np.n
         return
     distinct, place = np.unique(keys, return_inverse=True)
     memory = gram_memory()
-    counts = np.bincount(owner * len(distinct) + place, minlength=len(texts) * len(distinct)).astype(np.float32).reshape(len(texts), -1)
-    kinds += np.count_nonzero(counts, axis=1)
-    rows = memory.rows(distinct)
-    out += counts @ memory.vectors[rows]
+    if len(distinct) > SLICE:
+        order = np.argsort(place, kind="stable")
+        place, owner = place[order], owner[order]
+    for first in range(0, len(distinct), SLICE):
+        some = distinct[first : first + SLICE]
+        a, b = (0, len(place)) if len(distinct) <= SLICE else np.searchsorted(place, (first, first + len(some)))
+        counts = np.bincount(owner[a:b] * len(some) + (place[a:b] - first), minlength=len(texts) * len(some)).astype(np.float32).reshape(len(texts), -1)
+        kinds += np.count_nonzero(counts, axis=1)
+        rows = memory.rows(some)
+        out += counts @ memory.vectors[rows]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -174,17 +185,27 @@ class Profiles:
 def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
     """Prototypes from text and non-null lang of documents that are not held out.
 
-    The sample is bounded by per_language for each language (in expectation), whatever the table's
-    size and however uneven the languages: its members are those of least hash of doc_id. Sums are
-    made in the tasks; a row for each task and language comes to the driver's aggregate. The sample is
-    read again for calibrated().
+    The sample is bounded by per_language for each language and SAMPLE_ROWS for all (in expectation),
+    whatever the table's size and however uneven the languages: its members are those of least hash of
+    doc_id. Of values of lang the MOST_LANGUAGES most frequent count, of equally frequent ones those that
+    come first in order. The documents are read once for the counts of lang and once for the sample,
+    which is written and read twice. Sums are made in the tasks; a row for each task and language comes
+    to the driver's aggregate.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    # MOST_LANGUAGES rows at most, on the driver and in the broadcast.
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return Profiles([], np.zeros((0, DIMENSIONS)), np.zeros(DIMENSIONS))
-    shares = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
-    sample = rows.where(hash_fraction(F.col("doc_id"), "language sample") < shares[F.col("lang")])
+    wanted = min(per_language, SAMPLE_ROWS / len(counts))
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, wanted / r.n)) for r in counts], "known string, share double")
+    sample = rows.join(F.broadcast(shares), F.col("lang") == F.col("known")).where(hash_fraction(F.col("doc_id"), "language sample") < F.col("share")).select("text", "lang")
+    with Scratch(docs.sparkSession) as scratch:
+        return learn_from(scratch.written(sample, "language-sample"))
+
+
+def learn_from(sample: DataFrame) -> Profiles:
+    """Prototypes and least likeness of a sample's text and lang."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quiet_threads()
@@ -202,7 +223,7 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
         place = np.tile(np.arange(DIMENSIONS + 1), len(names))
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, object), DIMENSIONS + 1), pa.string()), pa.array(place, pa.int32()), pa.array(flat, pa.float64())], ["lang", "place", "value"])
 
-    sums = sample.select("text", "lang").mapInArrow(run, "lang string, place int, value double").groupBy("lang", "place").agg(F.sum("value").alias("value")).collect()
+    sums = sample.mapInArrow(run, "lang string, place int, value double").groupBy("lang", "place").agg(F.sum("value").alias("value")).collect()
     languages = sorted({r.lang for r in sums})
     grid = np.zeros((len(languages), DIMENSIONS + 1))
     for r in sums:
@@ -212,7 +233,7 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
     means = grid[:, :-1] / grid[:, -1:]
     shared = means.mean(0) if len(languages) > 1 else np.zeros(DIMENSIONS)
     profiles = Profiles(languages, unit(means - shared), shared)
-    profiles.least = calibrated(sample.select("text", "lang"), profiles, means, grid[:, -1])
+    profiles.least = calibrated(sample, profiles, means, grid[:, -1])
     return profiles
 
 

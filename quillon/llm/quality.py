@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import small_batches
-from quillon.llm.common import hash_fraction, held_out, id_text, quiet_threads, small_arrow_batches
+from quillon.llm.common import Scratch, hash_fraction, held_out, id_text, quiet_threads, small_arrow_batches
 
 BUCKETS = 1 << 14
 WIDTH = 48
@@ -165,8 +165,17 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classifier | None:
-    """The classifier, from a bounded sample. None: no labelled document."""
-    sample = labelled(docs, labels, rows).coalesce(SAMPLE_TASKS)
+    """The classifier, from a bounded sample. None: no labelled document.
+
+    The documents are read once, by as many tasks as their scan has; what is kept of them is written,
+    and few tasks read that.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        return learn_from(scratch.written(labelled(docs, labels, rows), "quality-sample").coalesce(SAMPLE_TASKS))
+
+
+def learn_from(sample: DataFrame) -> Classifier | None:
+    """The classifier of a sample's text and quality, read twice: for the words' contexts and for the features."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quiet_threads()
