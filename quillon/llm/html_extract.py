@@ -1,10 +1,9 @@
 """Main text of web pages by two-pass block rules (operator 5).
 
-The page is cut into blocks at block elements. First pass: containers that are menus, headers,
-footers, sidebars, notices, adverts, forms or comments decide their blocks as boilerplate, an article
-or main element decides for text, and other blocks are classified by length, link density and
-stop-word density. Second pass: short ambiguous blocks inherit the label of the nearest decided
-neighbours.
+The page is cut into blocks at block elements. First pass: stop-word density, length and link density
+classify blocks. What a block's containers are is a prior: within an article or main element the
+thresholds are lower; menus, headers, footers, sidebars, adverts and comments go. Second pass: short
+ambiguous blocks inherit the label of the nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +22,8 @@ from quillon.llm.common import quiet_threads
 SHORT_BLOCK, LONG_BLOCK = 70, 200
 LINKED, LINKED_LIST = 0.2, 0.6
 FEW_STOP_WORDS, MANY_STOP_WORDS = 0.12, 0.22
+#: How much more text than is found elsewhere an article within a form or a boilerplate's name must have.
+NAMED_WEIGHT = 4
 
 # Frequent function words of four languages.
 STOP_WORDS = frozenset(
@@ -35,7 +36,7 @@ STOP_WORDS = frozenset(
 # Element names of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template title svg math iframe object canvas audio video select textarea button datalist".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog".split())
 MAIN = frozenset("article main".split())
 CONTAINERS = frozenset("html head body div section article main nav header footer aside form menu dialog ul ol dl table figure details blockquote fieldset center address hgroup".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr caption pre hr figcaption summary legend option thead tbody tfoot".split())
@@ -47,60 +48,114 @@ NAMES = frozenset(
     masthead footer contentinfo sidebar complementary widget related recommended share sharing social comment comments commentlist disqus respond reply
     replies pagination pager copyright toolbar search form""".split()
 )
+# Of these, words that an article's own parts may bear as well,
+DOUBTFUL = frozenset("notice notices alert overlay related share sharing social search form copyright respond reply replies widget banner promotion".split())
+# And words within which not even an article element is the page's own.
+FOREIGN = frozenset("ad ads advert adverts advertisement advertising adsense promo sponsor sponsored comment comments commentlist disqus related recommended replies".split())
+# Words that go with those above without changing what they name.
+FILLERS = frozenset(
+    """site page main post entry article content top bottom left right primary secondary global inner outer wrap wrapper container area box bar block list
+    lists item items link links button buttons section group panel module row col text title body posts articles stories header head thread icons""".split()
+)
 
-TAG = re.compile(r"""<(?:!--(?P<comment>)|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?:[!?]|/(?![a-zA-Z]))[^>]*+>)""")
-LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
-ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-WORD = re.compile(r"[A-Za-z][a-z]*")
+# A tag's attributes up to its end: quotes count where a value begins. No part can give back what it took.
+REST = re.compile(r"""(?:[\s/]++|(?:=|[^\s/>=])[^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?+)*+>""")
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?+(?![^\s/=>])""", re.I)
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @dataclass
 class Block:
     text: str
     linked: int  # characters within links
-    state: str  # "bad" or "main" by its containers, "free" otherwise
+    state: str  # by its containers, see State
     heading: bool
+    place: int  # number of the innermost container
+
+
+class State:
+    """What the containers of a block say. BAD is a verdict, the others are priors."""
 
+    FREE, MAIN, BAD = "free", "main", "bad"
+    NAMED = "named"  # in a form, or in what a class, id or role calls boilerplate
+    NAMED_MAIN = "named main"  # in an article or main element within such
 
-def named(attrs: str, within_main: bool) -> str | None:
-    """'bad' for attributes that name boilerplate or hide, 'main' for those that name the main part."""
+
+def boilerplate_words(value: str) -> set[str]:
+    """Words of NAMES by which a class, id or role as a whole names boilerplate: with FILLERS alone beside them."""
+    out: set[str] = set()
+    for token in value.split():
+        parts = {p.lower() for p in PART.findall(token)}
+        if parts <= NAMES | FILLERS:
+            out |= parts & NAMES
+            if parts & {"header", "head"} and parts & {"site", "page", "top", "global"}:
+                out.add("header")
+    return out
+
+
+def attributes(attrs: str) -> tuple[bool, bool, set[str]]:
+    """Whether an element is hidden, whether its role is the main part, and the boilerplate that it names."""
+    hidden, main, words = False, False, set()
     if not attrs or attrs.isspace():
-        return None
+        return hidden, main, words
     for key, value in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), html.unescape(value.strip("\"'")).strip()
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return "bad"
-        if key == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return "bad"
-            continue
-        if key == "role" and value.lower() in ("main", "article"):
-            return "main"
-        words = {w.lower() for w in WORD.findall(value)}
-        if words & NAMES or (not within_main and words & {"header", "head"}):
-            return "bad"
-    return None
+            hidden = True
+        elif key == "style":
+            hidden = hidden or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+        elif key == "role" and value.lower() in ("main", "article"):
+            main = True
+        elif key in ("class", "id", "role"):
+            words |= boilerplate_words(value)
+    return hidden, main, words
+
+
+def within(state: str, name: str, attrs: str) -> str:
+    """The state within an element of this name and attributes, itself in the given state."""
+    if state == State.BAD or name in ("html", "body"):
+        return state
+    hidden, main, words = attributes(attrs)
+    if hidden or name in BOILERPLATE:
+        return State.BAD
+    if name in MAIN or main:
+        if words & FOREIGN - DOUBTFUL:
+            return State.BAD
+        return State.MAIN if state in (State.FREE, State.MAIN) else State.NAMED_MAIN
+    inside = state in (State.MAIN, State.NAMED_MAIN)
+    if name in ("header", "head") and not inside:
+        return State.BAD
+    if inside:
+        words -= DOUBTFUL | {"header"}
+    if words & FOREIGN:
+        return State.BAD
+    if words or name == "form":
+        return State.BAD if inside else State.NAMED
+    return state
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's non-empty blocks in order."""
+    """The page's non-empty blocks in order. Time grows with the page's length, whatever its markup."""
     out: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, str]] = []  # open containers with the state that holds within
-    state, own, heading, link, linked = "free", None, False, False, 0
+    stack: list[tuple[str, str, int]] = []  # open containers with the state that holds within and their numbers
+    opened: dict[str, int] = {}  # how many of each name are on the stack
+    endless: set[str] = set()  # hidden elements that are not closed any more
+    state, own, heading, link, linked, place, places = State.FREE, None, False, False, 0, 0, 0
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, linked, "bad" if own == "bad" else state, heading))
+                out.append(Block(text, linked, own or state, heading, place))
         parts, linked = [], 0
 
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
         start = page.find("<", at)
-        if start < 0:
+        if start < 0 or (start > last and not page.startswith(("<!", "<?"), start)):  # no tag ends any more
             start = n
         if start > at:
             parts.append(page[at:start])
@@ -108,59 +163,60 @@ def blocks(page: str) -> list[Block]:
                 linked += start - at
         if start == n:
             break
-        found = TAG.match(page, start)
-        if found is None:
-            found = LOOSE.match(page, start)
-            if found is None:
-                parts.append("<")
-                at = start + 1
-                continue
-            closing, name, attrs = bool(found[1]), found[2].lower(), found[3]
-        elif found["comment"] is not None:
+        if page.startswith("<!--", start):
             end = page.find("-->", start + 4) if not page.startswith(("<!-->", "<!--->"), start) else page.find(">", start) - 2
             at = n if end < 0 else end + 3
             continue
-        elif found["name"] is None:
-            at = found.end()
+        found = NAME.match(page, start)
+        if found is None:
+            if page.startswith(("<!", "<?", "</"), start):
+                end = page.find(">", start)
+                at = n if end < 0 else end + 1
+            else:
+                parts.append("<")
+                at = start + 1
             continue
-        else:
-            closing, name, attrs = bool(found["close"]), found["name"].lower(), found["attrs"]
-        at = found.end()
+        closing, name, end = page[start + 1] == "/", found[1].lower(), REST.match(page, found.end())
+        if end is None:  # nothing ends this tag: it is text
+            parts.append(page[start:])
+            break
+        attrs, at = end[0][:-1], end.end()
+        empty = attrs.rstrip().endswith("/")
         if name in HIDDEN:
-            if not closing and not attrs.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else (n if name in ("script", "style", "title", "textarea") else at)
+            if not closing and not empty and name not in endless:
+                stop = re.compile(rf"</{name}\b[^>]*+>", re.I).search(page, at)
+                if stop is None:
+                    endless.add(name)
+                at = stop.end() if stop else (n if name in ("script", "style", "title", "textarea") else at)
             parts.append(" ")
             continue
         if name == "a":
             link = not closing
             continue
         if name not in BLOCKS:
-            if name in ("br", "td", "th", "img", "input", "wbr"):
-                parts.append("" if name == "wbr" else " ")
-            elif not closing and name not in VOID and name in ("span", "b", "i", "em", "strong", "small", "font"):
-                pass
+            if name in ("br", "td", "th", "img", "input"):
+                parts.append(" ")
             continue
         flush()
         link = False
         own, heading = None, name in HEADINGS and not closing
         if name not in CONTAINERS:
             if not closing:
-                own = named(attrs, state == "main")
+                own = within(state, name, attrs)
             continue
         if closing:
-            names = [x for x, _ in stack]
-            if name in names:
-                del stack[len(names) - 1 - names[::-1].index(name) :]
-            state = stack[-1][1] if stack else "free"
-        elif not attrs.rstrip().endswith("/"):
-            if state != "bad" and name not in ("html", "body"):
-                says = named(attrs, state == "main")
-                if name in BOILERPLATE or says == "bad" or (name in ("header", "head") and state != "main"):
-                    state = "bad"
-                elif name in MAIN or says == "main":
-                    state = "main"
-            stack.append((name, state))
+            if opened.get(name):
+                while True:
+                    top = stack.pop()[0]
+                    opened[top] -= 1
+                    if top == name:
+                        break
+            state, place = stack[-1][1:] if stack else (State.FREE, 0)
+        elif not empty:
+            places += 1
+            state, place = within(state, name, attrs), places
+            stack.append((name, state, place))
+            opened[name] = opened.get(name, 0) + 1
     flush()
     return out
 
@@ -170,14 +226,10 @@ def stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words)
 
 
-def first_pass(block: Block, has_main: bool) -> bool | None:
-    """True: main text, False: boilerplate, None: ambiguous."""
-    if block.state == "bad":
-        return False
+def by_density(block: Block) -> bool | None:
+    """True: main text, False: boilerplate, None: ambiguous; by link density, length and stop-word density alone."""
     density = min(1.0, block.linked / len(block.text))
-    if block.state == "main":
-        return None if density > LINKED_LIST and len(block.text) < SHORT_BLOCK else True
-    if has_main or density > LINKED_LIST:
+    if density > LINKED_LIST:
         return False
     if len(block.text) < SHORT_BLOCK or block.heading:
         return False if density > LINKED else None
@@ -189,42 +241,103 @@ def first_pass(block: Block, has_main: bool) -> bool | None:
     return None if share >= FEW_STOP_WORDS else False
 
 
-def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
-    """Ambiguous blocks take the label of both decided neighbours, or of the nearer; a heading that of the next."""
-    n = len(labels)
-    before, after = [(-1, None)] * n, [(-1, None)] * n
+def in_article(block: Block) -> bool | None:
+    """by_density() with the lower thresholds of a block in an article: only many links make it doubtful."""
+    density = min(1.0, block.linked / len(block.text))
+    if density > LINKED_LIST:
+        return None if len(block.text) < SHORT_BLOCK else False
+    return True if len(block.text) >= SHORT_BLOCK or stop_share(block.text) >= FEW_STOP_WORDS else None
+
+
+def first_pass(found: list[Block], main: str | None) -> list[bool | None]:
+    """Labels of all blocks. main: the state that marks the article's blocks, if the page has one."""
+    labels = [False if b.state == State.BAD or (main and b.state != main) else in_article(b) if main else by_density(b) for b in found]
+    run: list[int] = []
+    for i in range(len(found) + 1):  # three linked blocks in a row or more are a menu, in an article too
+        if i < len(found) and found[i].linked > LINKED_LIST * len(found[i].text):
+            run.append(i)
+            continue
+        if len(run) > 2:
+            for j in run:
+                labels[j] = False
+        run = []
+    return labels
+
+
+def second_pass(found: list[Block], labels: list[bool | None], main: str | None) -> list[bool]:
+    """Ambiguous blocks take the label of both decided neighbours, or of the nearer; a heading that of the next.
+
+    Of two as near, that of the same container counts, else the block goes. On a page with an article
+    the article's own blocks are the neighbours; there a block without links stays if any of both does.
+    """
+    counted = [i for i, b in enumerate(found) if not main or b.state == main]
+    before: list[tuple[int, bool | None]] = []
     last: tuple[int, bool | None] = (-1, None)
-    for i in range(n):
+    for i in counted:
         if labels[i] is not None:
             last = (i, labels[i])
-        before[i] = last
+        before.append(last)
+    after: list[tuple[int, bool | None]] = []
     last = (-1, None)
-    for i in range(n - 1, -1, -1):
+    for i in reversed(counted):
         if labels[i] is not None:
             last = (i, labels[i])
-        after[i] = last
-    out = []
-    for i, label in enumerate(labels):
-        if label is None:
-            (b, left), (a, right) = before[i], after[i]
-            if left is None or right is None or left == right:
-                label = right if left is None else left
+        after.append(last)
+    after.reverse()
+    out = [bool(x) for x in labels]
+    for i, (b, left), (a, right) in zip(counted, before, after):
+        if labels[i] is None:
+            if left is None and right is None:
+                out[i] = True
+            elif left is None or right is None or left == right:
+                out[i] = bool(right if left is None else left)
             elif found[i].heading:
-                label = right
+                out[i] = bool(right)
+            elif main and not found[i].linked:
+                out[i] = True
             else:
-                label = left if i - b < a - i else right if a - i < i - b else False
-        out.append(bool(label))
+                label = left if i - b < a - i else right
+                if i - b == a - i:
+                    same = [x for x, j in ((left, b), (right, a)) if found[j].place == found[i].place]
+                    label = same[0] if len(same) == 1 else False
+                out[i] = bool(label)
     return out
 
 
+def prose(found: list[Block], state: str) -> int:
+    """Characters of the blocks in a state that are main text by density alone."""
+    return sum(len(b.text) for b in found if b.state == state and by_density(b))
+
+
 def main_text(page: str | None) -> str:
-    """The main text of a page, a block on each line. Null, empty, or nothing but boilerplate: ''."""
+    """The main text of a page, a block on each line. Null, empty, or nothing but boilerplate: ''.
+
+    An article or main element is a prior: its blocks have lower thresholds and those about it go, unless
+    density finds more main text about it than its blocks have characters, as about a teaser; then
+    density alone decides for all. One that stands in a form or a container of a boilerplate's name
+    counts if the page has no other. A page without any main text is read again as if forms and names
+    said nothing.
+    """
     found = blocks(page or "")
-    has_main = any(b.state == "main" for b in found)
-    labels = [first_pass(b, has_main) for b in found]
-    if found and all(x is None for x in labels):  # nothing but short blocks, none decided
-        labels = [True] * len(labels)
-    return "\n".join(b.text for b, keep in zip(found, second_pass(found, labels)) if keep)
+    around = prose(found, State.FREE)
+    for main, weight in ((State.MAIN, 1), (State.NAMED_MAIN, NAMED_WEIGHT)):
+        size = sum(len(b.text) for b in found if b.state == main)
+        if size >= max(1, around * weight):
+            return kept(found, main)
+        if size:
+            break
+    free = [replace(b, state=State.BAD) if b.state in (State.NAMED, State.NAMED_MAIN) else b for b in found]
+    return kept(free, None) or kept(found, None)
+
+
+def kept(found: list[Block], main: str | None) -> str:
+    labels = first_pass(found, main)
+    if not main:
+        free = [i for i, b in enumerate(found) if b.state != State.BAD]
+        if not any(labels[i] is not None for i in free):  # nothing but short blocks, none decided
+            for i in free:
+                labels[i] = True
+    return "\n".join(b.text for b, keep in zip(found, second_pass(found, labels, main)) if keep)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

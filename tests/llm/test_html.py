@@ -28,6 +28,69 @@ def test_hidden_and_quoted():
     assert main_text("just text") == "just text"
 
 
+LONG = "This is the text of the page and it is about the things that are in it, as you would have it. " * 3
+BODY = LONG.strip()
+
+
+@pytest.mark.parametrize(
+    "head, tail",
+    [
+        ('<div class="layout has-sidebar"><article>', "</article></div>"),
+        ('<article class="post share-enabled">', "</article>"),
+        ('<article class="post comments-open with-related">', "</article>"),
+        ('<div class="no-sidebar content"><div class="long-form" id="search-guide">', "</div></div>"),
+        ('<main class="has-sidebar"><div class="notice-of-motion">', "</div></main>"),
+        ('<article><p class="form">Form</p><div class="share">', "</div></article>"),
+        ('<form id="aspnetForm"><main>', "</main></form>"),
+        ('<form>', "</form>"),
+        ('<div class="content-sidebar-wrap"><article>', "</article></div>"),
+        ('<div class="sidebar">', "</div>"),
+    ],
+)
+def test_names_of_layout_lose_nothing(head, tail):
+    page = f"<nav><a href=/>Home</a></nav>{head}<h1>Title</h1><p>{LONG}</p><p>Short.</p>{tail}<footer>About this and that and all of us</footer>"
+    want = ["Form"] * (">Form<" in head) + ["Title", BODY, "Short."]
+    assert main_text(page).split("\n") == want
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-footer", "cookie-notice", "commentList", "related-posts", "comments-area", "main-nav", "advert", "share-buttons", "newsletter signup"])
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "{}"])
+def test_names_of_boilerplate(name, wrap):
+    page = wrap.format(f"<h1>Title</h1><p>{LONG}</p>") + f'<div class="x {name}"><p>{LONG} more</p><article><p>{LONG} teaser</p></article></div>'
+    assert main_text(page).split("\n") == ["Title", BODY]
+
+
+def test_teaser_in_article_and_body_outside():
+    page = f"<article><p>A teaser of the thing.</p></article><div><h2>Head</h2><p>{LONG}</p><p>Yes.</p><p>{LONG}</p></div><p><a href=x>{LONG}</a></p>"
+    assert main_text(page).split("\n")[-4:] == ["Head", BODY, "Yes.", BODY]
+
+
+def test_boilerplate_within_an_article():
+    links = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(4))
+    page = f'<article><ul>{links}</ul><p>{LONG}</p><p><a href=/r>The report</a></p><p>Zwölf Boxkämpfer</p><div><a href=x>{"other things to read " * 9}</a></div><div class="comments"><p>{LONG}</p></div></article><p>Unnamed and short notice</p>'
+    assert main_text(page).split("\n") == [BODY, "The report", "Zwölf Boxkämpfer"]
+
+
+def test_article_of_short_blocks_stays_whole():
+    assert main_text("<nav><a>x</a></nav><article><h1>Qwx</h1><p>Zzyx.</p><p>Brr</p></article><footer>f</footer>") == "Qwx\nZzyx.\nBrr"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a" * 100_000, "<!" * 100_000, "<a b='" * 50_000 + ">", '<a "' * 100_000, "<svg>" * 50_000, "<div>" * 50_000 + "</p></section>" * 20_000 + "</div>" * 50_000, "<!--" * 50_000, "</" * 100_000 + ">", "<p =" * 50_000, "<a " + " " * 200_000, "<x y=\"z" * 50_000, "<p class=" * 50_000 + ">"],
+)
+def test_odd_markup_takes_linear_time(page):
+    import time
+
+    start = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - start < 1
+
+
+def test_quotes_that_are_no_values():
+    assert main_text("<article><p class=it's>one</p><p data-x=\"a>b\" title='>'>two</p><p title=\"x>three</p></article>") == "one\ntwo\nthree"
+
+
 def test_query(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (2, None, None, 1), (None, "v", "", 1)], "page_id long, url string, html string, text int")
     got = sorted((r.page_id or 0, r.url, r.n_chars) for r in extracted(pages).collect())
