@@ -29,8 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quillon-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables that this application has in the shared folder. Results that still read them are lost."""
+    remove_path(spark, own_dir(spark))
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -14,11 +14,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import new_path, quantiles, remove_path, shuffle_partitions, written, written_at
+from quillon.llm.common import Scratch, new_path, part_count, quantiles, remove_path, unused, written
 
 MIN_KEY = 10
 BATCHES = 4
 FANOUT = 2
+#: What Spark allows by default.
+MOST_BUCKETS = 100_000
 # What is stripped at both ends of a line.
 BLANK = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,13 +47,20 @@ def long_lines(docs: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """Runs of (h1, h2, owner), at most FANOUT - 1 on each level."""
+    """Runs of (h1, h2, owner), at most FANOUT - 1 on each level. They are deleted on exit."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
-        self.spark, self.buckets = spark, buckets or shuffle_partitions(spark)
+    def __init__(self, spark: SparkSession, buckets: int) -> None:
+        self.spark, self.buckets = spark, min(buckets, MOST_BUCKETS)
         self.levels: list[list[str]] = []
         self.paths: dict[str, str] = {}
 
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for name in list(self.paths):
+            self._drop(name)
+
     def _write(self, rows: DataFrame) -> str:
         name = f"quillon_line_run_{uuid.uuid4().hex}"
         self.paths[name] = new_path(self.spark, "run")
@@ -60,14 +69,9 @@ class LineRuns:
         return name
 
     def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove_path(self.spark, self.paths.pop(name))
 
-    def drop(self) -> None:
-        """Delete all runs."""
-        for name in list(self.paths):
-            self._drop(name)
-
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
@@ -107,15 +111,13 @@ def dropped_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     number = F.lit(0)
     for bound in bounds:
         number = number + F.when(F.col("doc") > bound, 1).otherwise(0)
-    stored, path = written_at(lines.withColumn("batch", number), "lines")
-    runs = LineRuns(spark)
-    for i in range(len(bounds) + 1):
-        runs.add(stored.where(F.col("batch") == i).select("doc", "h1", "h2"))
-    gone = stored.join(runs.owners(), ["h1", "h2"]).where("owner < doc")
-    out = written(gone.groupBy("doc", "body").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone")
-    runs.drop()
-    remove_path(spark, path)
-    return out
+    with Scratch(spark) as scratch:
+        stored = scratch.written(lines.withColumn("batch", number), "lines")
+        with LineRuns(spark, part_count(stored)) as runs:
+            for i in range(len(bounds) + 1):
+                runs.add(stored.where(F.col("batch") == i).select("doc", "h1", "h2"))
+            gone = stored.join(runs.owners(), ["h1", "h2"]).where("owner < doc")
+            return written(gone.groupBy("doc", "body").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone")
 
 
 def without(lines: Column, gone: Column) -> Column:
@@ -125,24 +127,30 @@ def without(lines: Column, gone: Column) -> Column:
     return F.filter(lines, lambda _, i: ~F.coalesce(F.get(flags, i), F.lit(False)))
 
 
+def added(docs: DataFrame) -> list[str]:
+    """What deduplicated() calls its three columns: qn_lines, qn_dropped, qn_kept, with underscores where docs has such."""
+    return unused(docs.columns, "qn_lines", "qn_dropped", "qn_kept")
+
+
 def deduplicated(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """docs with three columns more: qn_lines, qn_dropped and qn_kept, the text that stays.
+    """docs with three columns more, see added(): lines before, lines dropped, and the text that stays.
 
     Lines whose key (stripped, A-Z lower-cased) has at least MIN_KEY code points and stands in two
     documents or more go, but for those in the document of smallest id that holds the key; there all
     stay. Null text is one empty line. Rows of equal doc_id are one document; each keeps its own
     text. Rows without doc_id are one document before all others. Extra columns stay.
     """
-    gone = dropped_lines(docs, batches).select(F.col("doc").alias("qn_doc"), F.col("body").alias("qn_body"), F.col("gone").alias("qn_gone"))
-    match = (document_key(docs["doc_id"]) == F.col("qn_doc")) & (F.xxhash64(docs["text"]) == F.col("qn_body"))
+    n_lines, n_dropped, kept, doc, body, places = unused(docs.columns, *added(docs), "qn_doc", "qn_body", "qn_gone")
+    gone = dropped_lines(docs, batches).select(F.col("doc").alias(doc), F.col("body").alias(body), F.col("gone").alias(places))
+    match = (document_key(docs["doc_id"]) == F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(body))
     lines = split_lines(docs["text"])
     whole = F.coalesce(docs["text"].cast("string"), F.lit(""))
     # A merge join at every size: what goes grows with the corpus, so that no broadcast of it is bounded.
     return docs.join(gone.hint("merge"), match, "left").select(
-        *[docs[c] for c in docs.columns],
-        F.size(lines).cast("long").alias("qn_lines"),
-        F.coalesce(F.size("qn_gone"), F.lit(0)).cast("long").alias("qn_dropped"),
-        F.when(F.col("qn_gone").isNull(), whole).otherwise(F.concat_ws("\n", without(lines, F.col("qn_gone")))).alias("qn_kept"),
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.size(lines).cast("long").alias(n_lines),
+        F.coalesce(F.size(places), F.lit(0)).cast("long").alias(n_dropped),
+        F.when(F.col(places).isNull(), whole).otherwise(F.concat_ws("\n", without(lines, F.col(places)))).alias(kept),
     )
 
 
@@ -154,6 +162,6 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def rewritten(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """docs with text (and n_chars, where there is one) replaced by what stays. Null text stays null."""
-    out = deduplicated(docs, batches)
-    new = {"text": F.when(F.col("text").isNotNull(), F.col("qn_kept")), "n_chars": F.char_length("qn_kept").cast("long")}
+    out, kept = deduplicated(docs, batches), added(docs)[2]
+    new = {"text": F.when(F.col("text").isNotNull(), F.col(kept)), "n_chars": F.char_length(kept).cast("long")}
     return out.select(*[(new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import quiet_threads, small_arrow_batches, written
+from quillon.llm.common import Scratch, quiet_threads, small_arrow_batches, written
 from quillon.llm.simhash import near_copies
 from quillon.llm.token_blocks import library_encoder
 
@@ -94,7 +94,9 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, tokens: Column | None = No
     cluster = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) if cluster is None else cluster
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.greatest(tokens.cast("long"), F.lit(1)).alias("tokens"), source.cast("string").alias("source"), cluster.cast("long").alias("cluster"))
     count = max(1, -(-docs.select("doc_id").count() // SHARD_DOCUMENTS))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(count)).cast("long"))
+    # By place in the input as well, so that however many rows are equal they are dealt over all shards.
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "place"), F.lit(count)).cast("long")).drop("place")
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         quiet_threads()
@@ -131,9 +133,12 @@ def packed_by_ids(docs: DataFrame, tokenizer_path: str, clusters: bool = True, c
     clusters: groups of near copies share no bin; without, only exact copies, for documents of which
     one of each group is left. Rows without doc_id have the cluster of their text.
     """
-    rows = written(token_lengths(docs, tokenizer_path), "lengths")
-    if clusters:
-        groups = near_copies(docs).groupBy(F.col("doc_id").alias("member")).agg(F.min("component_id").alias("component"))
-        rows = rows.join(groups.hint("merge"), F.col("doc_id") == F.col("member"), "left").select("doc_id", "source", F.coalesce("component", "cluster").alias("cluster"), "tokens")
-        rows = written(rows, "clustered")
+    if not clusters:
+        rows = written(token_lengths(docs, tokenizer_path), "lengths")
+    else:
+        with Scratch(docs.sparkSession) as scratch:
+            rows = scratch.written(token_lengths(docs, tokenizer_path), "lengths")
+            groups = near_copies(docs).groupBy(F.col("doc_id").alias("member")).agg(F.min("component_id").alias("component"))
+            rows = rows.join(groups.hint("merge"), F.col("doc_id") == F.col("member"), "left").select("doc_id", "source", F.coalesce("component", "cluster").alias("cluster"), "tokens")
+            rows = written(rows, "clustered")
     return packed(rows, capacity, rows["tokens"], rows["source"], rows["cluster"])

@@ -11,9 +11,12 @@ subtrees that lie in the searcher's component are skipped. Star contraction join
 
 The pipeline's stage takes another contract: shingles of five words and Jaccard similarity of 0.8 or
 more. Blocks of bits can't deal 64 bits for the radius that needs, so texts meet by a prefix filter:
-of a set of n hashes in ascending order, the first n - ceil(0.8 n) + 1 hold one in common with the
-prefix of each set as similar. Pairs that meet and whose five-word SimHashes differ in at most
-WIDE_RADIUS bits are candidates, and links are those that an exact comparison of shingles confirms.
+with all shingles in one order, of a set of n the first n - ceil(0.8 n) + 1 hold one in common with the
+prefix of each set as similar. Any order is right; shingles that are common in a sample come last, so
+that a passage of many documents brings none of them together. Texts that meet and whose SimHashes
+differ in at most WIDE_RADIUS bits are candidates, and links are those that an exact comparison of
+shingle sets confirms. Of a group that shares a shingle, each text is first compared with one of it
+only; what that leaves in other components is then joined with the group by Spark, which can split it.
 """
 
 from __future__ import annotations
@@ -23,13 +26,12 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import small_batches
-from quillon.llm.common import id_text, quiet_threads, remove_path, written, written_at
+from quillon.llm.common import Scratch, hash_fraction, id_text, quiet_threads, remove_path, unused, written, written_at
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -38,6 +40,12 @@ STAGE_WORDS = 5
 SIMILAR, OF = 4, 5
 #: Differing bits of candidates. At similarity 0.8 SimHashes differ in 9.7 bits, standard deviation 2.9.
 WIDE_RADIUS = 26
+#: Documents, in expectation, in which common shingles are sought; how often one must occur there; how many are kept.
+COMMON_SAMPLE, COMMON_TIMES, MOST_COMMON = 20_000, 6, 1 << 18
+#: Bytes of text whose shingles are hashed at once; a longer text is cut between words.
+STRIDE = 1 << 20
+# Odd multipliers of well-known 64-bit mixers.
+MIXERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 SEED = 42
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -169,16 +177,16 @@ def shards(fp: Column) -> Column:
 def links(vertices: DataFrame) -> DataFrame:
     """Edges (a, b) between owners that connect just what fingerprints within the radius connect.
 
-    vertices: fp (distinct) and owner (distinct). Memory: the largest shard and a task's links.
+    vertices: fp (distinct) and owner (distinct). Memory: the largest shard and its links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, tree, current = Forest(), None, None
+        tree, current = None, None
         for batch in batches:
             a, b = [], []
             for shard, value, owner in zip(*(c.to_pylist() for c in batch.columns)):
                 if shard != current:
-                    tree, current = BKTree(forest), shard
+                    tree, current = BKTree(Forest()), shard
                 for other in tree.link_and_add(value & (1 << 64) - 1, owner):
                     a.append(owner)
                     b.append(other)
@@ -188,13 +196,14 @@ def links(vertices: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """vertex and root, the smallest vertex that it reaches, for every vertex with an edge.
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """vertex and root, the smallest vertex that it reaches, for every vertex with an edge. A table of scratch.
 
     Alternating large-star and small-star steps on tables in the shared folder. Minima are combined
     before the shuffle, and the joins back can be split where one vertex has very many edges.
     """
     current, path = written_at(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    scratch.paths.append(path)
     before = None
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -203,10 +212,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         after, new_path = written_at(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        scratch.paths.append(new_path)
         mark = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         remove_path(current.sparkSession, path)
+        scratch.paths.remove(path)
         current, path = after, new_path
-        if mark == before:
+        if mark == before or not mark[0]:
             return current.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
         before = mark
 
@@ -221,26 +232,119 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     marks = written(fingerprints(docs), "fingerprints")
     vertices = marks.groupBy("fp").agg(F.min("doc_id").alias("owner"))
-    roots = components(links(vertices.where("owner IS NOT NULL")))
-    named = vertices.join(roots, vertices.owner == roots.vertex, "left").select(F.col("fp").alias("vertex_fp"), F.coalesce("root", "owner").alias("component_id"))
-    # Written first: the join below then stands alone after its shuffles, so that Spark can split a
-    # fingerprint that very many documents share.
-    named = written(named, "components")
+    with Scratch(docs.sparkSession) as scratch:
+        roots = components(links(vertices.where("owner IS NOT NULL")), scratch)
+        named = vertices.join(roots, vertices.owner == roots.vertex, "left").select(F.col("fp").alias("vertex_fp"), F.coalesce("root", "owner").alias("component_id"))
+        # Written first: the join below then stands alone after its shuffles, so that Spark can split a
+        # fingerprint that very many documents share.
+        named = written(named, "components")
     return marks.join(named, marks.fp == named.vertex_fp).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+LOWER_TABLE = np.frombuffer(LOWER, np.uint8)
+WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * MIXERS[1]
+    x = (x ^ (x >> np.uint64(27))) * MIXERS[2]
+    return x ^ (x >> np.uint64(31))
+
+
+#: A random number for each byte after lower-casing, none for white space.
+BYTES = np.where(WHITE, np.uint64(0), mixed(LOWER_TABLE.astype(np.uint64) + MIXERS[0]))
+
+
+def word_hashes(raw: np.ndarray) -> np.ndarray:
+    """A hash of each word of the bytes, in order: its bytes' numbers weighted by powers of an odd one."""
+    white = WHITE[raw]
+    starts = np.flatnonzero(~white & np.append(True, white[:-1]))
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    place = np.arange(starts[0], len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    power = np.full(int(place.max()) + 1, MIXERS[3])
+    power[0] = 1
+    return mixed(np.add.reduceat(BYTES[raw[starts[0] :]] * np.multiply.accumulate(power)[place], starts - starts[0]))
+
+
+def text_words(text: str) -> np.ndarray:
+    """word_hashes() of a whole text, taken in runs of about STRIDE bytes that end between words."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    if len(raw) <= STRIDE:
+        return word_hashes(raw)
+    parts, at = [], 0
+    while at < len(raw):
+        stop = min(at + STRIDE, len(raw))
+        while stop < len(raw) and not WHITE[raw[stop]]:
+            after = np.flatnonzero(WHITE[raw[stop : stop + STRIDE]])
+            stop += int(after[0]) if len(after) else len(raw[stop : stop + STRIDE])
+        parts.append(word_hashes(raw[at:stop]))
+        at = stop
+    return np.concatenate(parts)
+
+
 def shingle_set(text: str) -> np.ndarray:
-    """Distinct hashes of the stage's shingles, ascending."""
-    parts = list(shingles(text, STAGE_WORDS))
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    """Distinct hashes of the stage's shingles, ascending; of all words where they are fewer."""
+    words = text_words(text)
+    n = min(len(words), STAGE_WORDS)
+    if not n:
+        return np.zeros(0, np.uint64)
+    total = np.full(len(words) - n + 1, np.uint64(n))
+    for i in range(n):
+        total = (total + words[i : i + len(total)]) * MIXERS[i]
+        total ^= total >> np.uint64(29)
+    return np.unique(mixed(total))
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, hashes (array of long) of every row of docs, which has doc_id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quiet_threads()
+        for doc_ids, texts in small_batches(batches):
+            sets = [shingle_set(x) for x in texts]
+            yield pa.RecordBatch.from_arrays([doc_ids, arrays(sets)], ["doc_id", "hashes"])
+
+    return docs.mapInArrow(run, "doc_id long, hashes array<long>")
+
+
+def arrays(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *rows]).view(np.int64)))
 
 
 def prefix_length(n: int) -> int:
     return n + n * -SIMILAR // OF + 1 if n else 0
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """doc_id, 128-bit digest (high, low) of the shingle set, its size n, its SimHash fp, its prefix, of rows with an id."""
+def common_shingles(docs: DataFrame, sample: int = COMMON_SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur often in a sample of documents, ascending, and how often: MOST_COMMON at most.
+
+    They only order the shingles; which texts are similar does not depend on them.
+    """
+    share = min(1.0, sample / max(1, docs.count()))
+    rows = id_text(docs).where(F.col("doc_id").isNotNull() & (hash_fraction(F.col("doc_id"), "common shingles") < share))
+    counts = shingle_sets(rows).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where(F.col("n") >= COMMON_TIMES).orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
+    h, n = np.array(found["h"], np.int64).view(np.uint64), np.array(found["n"], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def marked(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, 128-bit digest (high, low) of the shingle set, its size n, its SimHash fp, its prefix, of rows with an id.
+
+    The prefix is in the order of all shingles: those not common first, then by how common, then by hash.
+    """
+    known, times = common
+
+    def first(x: np.ndarray) -> np.ndarray:
+        if len(known) and len(x):
+            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+            weight = np.where(known[at] == x, times[at], 0)
+            if weight.any():
+                x = x[np.argsort(weight, kind="stable")]
+        return x[: prefix_length(len(x))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quiet_threads()
@@ -248,96 +352,24 @@ def marked(docs: DataFrame) -> DataFrame:
             sets = [shingle_set(x) for x in texts]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets), np.int64).reshape(-1, 2)
             sizes = np.array([len(x) for x in sets], np.int64)
-            marks = np.array([majority([x]) for x in sets], np.uint64).view(np.int64)
-            firsts = [x[: prefix_length(len(x))] for x in sets]
-            ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *firsts]).view(np.int64)))
-            columns = [doc_ids, *(pa.array(np.ascontiguousarray(x)) for x in (digests[:, 0], digests[:, 1], sizes, marks)), prefix]
+            marks = np.array([majority([x[at : at + STRIDE] for at in range(0, len(x), STRIDE)]) for x in sets], np.uint64).view(np.int64)
+            columns = [doc_ids, *(pa.array(np.ascontiguousarray(x)) for x in (digests[:, 0], digests[:, 1], sizes, marks)), arrays([first(x) for x in sets])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "high", "low", "n", "fp", "prefix"])
 
-    return id_text(docs.where("doc_id IS NOT NULL")).mapInArrow(run, "doc_id long, high long, low long, n long, fp long, prefix array<long>")
+    return id_text(docs).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, high long, low long, n long, fp long, prefix array<long>")
 
 
-def meeting(h: np.ndarray, doc_id: np.ndarray, low: np.ndarray, fp: np.ndarray, n: np.ndarray, pos: np.ndarray, prev: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates (a, b), a < b, among rows that share h. Copies meet by their smallest doc_id alone.
-
-    Out go pairs whose sizes or places of h rule out the similarity, and those that met at the shingle before.
-    """
-    order = np.lexsort((doc_id, low, h))
-    first = np.ones(len(order), bool)
-    first[1:] = (h[order[1:]] != h[order[:-1]]) | (low[order[1:]] != low[order[:-1]])
-    h, doc_id, fp, n, pos, prev = (x[order[first]] for x in (h, doc_id, fp, n, pos, prev))
-    i, step = np.arange(len(h)), 0
-    while True:
-        step += 1
-        i = i[i + step < len(h)]
-        i = i[h[i] == h[i + step]]
-        if not len(i):
-            return
-        j = i + step
-        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        most = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1  # in common, if h is the first in common
-        good = (small * OF >= large * SIMILAR) & (most * (SIMILAR + OF) >= (n[i] + n[j]) * SIMILAR)
-        good &= ((prev[i] != prev[j]) | (pos[i] == 0) | (pos[j] == 0)) & (doc_id[i] != doc_id[j])
-        good &= np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= WIDE_RADIUS
-        a, b = doc_id[i[good]], doc_id[j[good]]
-        if len(a):
-            yield np.minimum(a, b), np.maximum(a, b)
-
-
-def candidates(marks: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of doc_ids whose texts may be similar. Memory: the rows of the commonest shingle."""
-    names = ("h", "doc_id", "low", "fp", "n", "pos", "prev")
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                prefix = batch.column("prefix")
-                many = np.array(pc.list_value_length(prefix))
-                owner, h = np.repeat(np.arange(len(many)), many), np.array(prefix.flatten())
-                pos = np.arange(len(h)) - np.repeat(np.cumsum(many) - many, many)
-                prev = np.append(np.int64(0), h[:-1])[: len(h)]
-                doc_id, low, fp, n = (np.array(batch.column(x))[owner] for x in ("doc_id", "low", "fp", "n"))
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (h, doc_id, low, fp, n, pos, prev)], list(names))
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quiet_threads()
-        kept: list[list[np.ndarray]] = []  # rows of the last h, which may go on
+def may_be_similar(x: str, y: str) -> str:
+    """Condition on two rows that share a shingle: sizes, its places, were it the first they share, and SimHashes allow similarity."""
+    most = f"1 + least({x}.n - {x}.pos, {y}.n - {y}.pos) - 1"
+    return (
+        f"least({x}.n, {y}.n) * {OF} >= greatest({x}.n, {y}.n) * {SIMILAR} AND ({most}) * {SIMILAR + OF} >= ({x}.n + {y}.n) * {SIMILAR}"
+        f" AND bit_count({x}.fp ^ {y}.fp) <= {WIDE_RADIUS}"
+    )
 
-        def found() -> Iterator[pa.RecordBatch]:
-            rows = [np.concatenate(x) for x in zip(*kept)]
-            same = np.zeros(len(rows[0]) + 1, bool)
-            same[1:-1] = rows[0][1:] == rows[0][:-1]
-            rows = [x[same[1:] | same[:-1]] for x in rows]
-            for a, b in meeting(*rows):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-        for batch in batches:
-            rows = [np.array(batch.column(x)) for x in names]
-            if not len(rows[0]):
-                continue
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))
-            if kept and (cut or kept[-1][0][-1] != rows[0][0]):
-                if cut:
-                    kept.append([x[:cut] for x in rows])
-                yield from found()
-                kept = []
-            elif cut:
-                kept = [[x[:cut] for x in rows]]
-                yield from found()
-                kept = []
-            kept.append([x[cut:] for x in rows])
-        if kept:
-            yield from found()
-
-    kinds = ", ".join(f"{x} long" for x in names)
-    rows = marks.where("n > 0").select("doc_id", "low", "fp", "n", "prefix").mapInArrow(deal, kinds)
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(meet, "a long, b long").distinct()
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets (doc_id, hashes) have the similarity."""
+def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose shingle sets have the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quiet_threads()
@@ -349,48 +381,63 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(both * OF >= (len(x) + len(y) - both) * SIMILAR)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = scratch.written(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = scratch.written(shingle_sets(id_text(docs).join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")), "shingles")
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return scratch.written(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, sample: int = COMMON_SAMPLE) -> DataFrame:
     """doc_id, component_id of every row with an id: groups by links of Jaccard similarity 0.8 or more.
 
     Shingles are of STAGE_WORDS words, or all words of a shorter text. component_id is the smallest
-    doc_id reachable. Texts without words link to each other. Texts under one id count as one.
+    doc_id reachable. Texts without words link to each other. Texts under one id count as one. A table
+    in the shared folder.
     """
-    marks = written(marked(docs), "marks")
-    owners = marks.groupBy("high", "low").agg(F.min("doc_id").alias("owner"))
-    copies = marks.select("doc_id", "high", "low").join(owners.hint("merge"), ["high", "low"]).where("doc_id <> owner").select(F.col("doc_id").alias("a"), F.col("owner").alias("b"))
-    pairs = written(candidates(marks), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quiet_threads()
-        for doc_ids, texts in small_batches(batches):
-            sets = [shingle_set(x).view(np.int64) for x in texts]
-            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "hashes"])
-
-    wanted = id_text(docs).join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
-    sets = written(wanted.mapInArrow(run, "doc_id long, hashes array<long>"), "shingles")
-    # Each text meets its smallest candidate first; then all pairs that this left apart.
-    hubs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = written(confirmed(hubs, sets), "links")
-    roots = components(links)
-    root = lambda x: roots.select(F.col("vertex").alias(x), F.col("root").alias(f"{x}_root"))
-    apart = pairs.join(hubs, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
-    more = confirmed(written(apart, "apart"), sets)
-    roots = components(links.union(more).union(copies))
-    return marks.select("doc_id").join(roots.hint("merge"), F.col("doc_id") == F.col("vertex"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+    with Scratch(docs.sparkSession) as scratch:
+        marks = scratch.written(marked(docs, common_shingles(docs, sample)), "marks")
+        owners = scratch.written(marks.groupBy("high", "low").agg(F.min("doc_id").alias("owner")), "owners")
+        copies = marks.select("doc_id", "high", "low").join(owners.hint("merge"), ["high", "low"]).where("doc_id <> owner").select(F.col("doc_id").alias("a"), F.col("owner").alias("b"))
+        # Of equal sets one, that of the smallest id, meets others.
+        rows = marks.where("n > 0").join(owners.select("high", "low", F.col("owner").alias("doc_id")).hint("merge"), ["high", "low", "doc_id"], "left_semi").dropDuplicates(["high", "low"])
+        rows = scratch.written(rows.select("doc_id", "n", "fp", F.posexplode("prefix").alias("pos", "h")), "prefixes")
+        hubs = rows.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("doc_id", "n", "pos", "fp")).alias("hub")).where("many > 1")
+        met = scratch.written(rows.join(hubs.select("h", "hub").hint("merge"), "h"), "met")
+        stars = scratch.written(met.alias("row").where("hub.doc_id <> row.doc_id AND " + may_be_similar("row", "hub")).select(F.col("hub.doc_id").alias("a"), F.col("row.doc_id").alias("b")).distinct(), "stars")
+        first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        found = confirmed(first, docs, scratch)
+        roots = components(found, scratch)
+
+        def apart(pairs: DataFrame) -> DataFrame:
+            """Those of the pairs that lie in two components yet."""
+            named = [roots.select(F.col("vertex").alias(x), F.col("root").alias(f"{x}_root")).hint("merge") for x in ("a", "b")]
+            return pairs.join(named[0], "a", "left").join(named[1], "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
+
+        found = found.union(confirmed(apart(stars.join(first, ["a", "b"], "left_anti")), docs, scratch))
+        roots = components(found, scratch)
+        named = roots.select(F.col("vertex").alias("doc_id"), "root")
+        rooted = met.join(named.hint("merge"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        hub_root = roots.select(F.col("vertex").alias("hub_id"), F.col("root").alias("hub_root"))
+        rooted = rooted.withColumn("hub_id", F.col("hub.doc_id")).join(hub_root.hint("merge"), "hub_id", "left").withColumn("hub_root", F.coalesce("hub_root", "hub_id"))
+        rooted = scratch.written(rooted.select("h", "doc_id", "n", "pos", "fp", "root", "hub_id", (F.col("root") != F.col("hub_root")).alias("outside")), "rooted")
+        outside = rooted.where("outside")
+        # Of two rows in different components one at least lies outside the hub's.
+        condition = "x.h = y.h AND x.root <> y.root AND y.doc_id <> y.hub_id AND (NOT y.outside OR x.doc_id < y.doc_id) AND " + may_be_similar("x", "y")
+        more = outside.alias("x").join(rooted.alias("y").hint("merge"), F.expr(condition)).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+        found = found.union(confirmed(more, docs, scratch))
+        roots = components(found.union(copies), scratch)
+        return written(marks.select("doc_id").join(roots.hint("merge"), F.col("doc_id") == F.col("vertex"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id")), "near-copies")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its group by near_copies(). Of rows that share an id one stays.
 
-    All columns of docs, in order. Rows without doc_id go: no decision can name them.
+    All columns of docs, in order, whatever their names. Rows without doc_id go: no decision can name them.
     """
-    keep = near_copies(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_doc_id")).count()
+    (kept,) = unused(docs.columns, "kept_doc_id")
+    keep = near_copies(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias(kept)).count()
     keep = written(keep, "kept")
     # A merge join at every size: what stays grows with the corpus, so that no broadcast of it is bounded.
-    left = docs.join(keep.select("kept_doc_id").hint("merge"), docs["doc_id"] == F.col("kept_doc_id"), "left_semi")
+    left = docs.join(keep.select(kept).hint("merge"), docs["doc_id"].cast("long") == F.col(kept), "left_semi")
     return left if keep.where("count > 1").isEmpty() else left.dropDuplicates(["doc_id"])

@@ -28,7 +28,7 @@ def odd(spark, odd_rows):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(odd_rows, SCHEMA)
-    return df.withColumns({"fingerprint": F.lit("x"), "score": F.lit("y"), "fp": F.lit(1), "tokens": F.lit(None).cast("int"), "key": F.lit("k"), "part": F.lit(2), "owner": F.lit(3), "shard": F.lit(1)})
+    return df.withColumns({"fingerprint": F.lit("x"), "score": F.lit("y"), "fp": F.lit(1), "tokens": F.lit(None).cast("int"), "key": F.lit("k"), "part": F.lit(2), "owner": F.lit(3), "shard": F.lit(1), **{x: F.lit(0) for x in ("qn_doc", "qn_body", "qn_gone", "qn_kept", "qn_lines", "qn_dropped", "kept_doc_id", "component_id", "place", "n", "root", "a", "b", "edge", "share", "known")}})
 
 
 @pytest.fixture(scope="session")

@@ -48,12 +48,32 @@ def test_same_id_with_other_texts(spark):
 
 
 def test_runs_are_levelled_and_hold_each_hash_once(spark):
-    runs = LineRuns(spark, buckets=2)
-    for i in range(5):
-        runs.add(spark.createDataFrame([(10 * i + j, h, h) for j, h in enumerate((1, i, i + 1))], "doc long, h1 long, h2 long"))
-    assert all(len(level) < line_dedup.FANOUT for level in runs.levels)
-    found = [tuple(r) for r in runs.owners().select("h1", "owner").collect()]
+    with LineRuns(spark, buckets=2) as runs:
+        for i in range(5):
+            runs.add(spark.createDataFrame([(10 * i + j, h, h) for j, h in enumerate((1, i, i + 1))], "doc long, h1 long, h2 long"))
+        assert all(len(level) < line_dedup.FANOUT for level in runs.levels)
+        found = [tuple(r) for r in runs.owners().select("h1", "owner").collect()]
+        names = list(runs.paths)
     assert sorted(h for h, _ in found) == [0, 1, 2, 3, 4, 5] and dict(found)[1] == 0 and dict(found)[4] == 32
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_runs_go_when_a_step_fails(spark, odd, monkeypatch):
+    monkeypatch.setattr(LineRuns, "owners", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        line_dedup.digests(odd)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quillon_line_run")]
+
+
+def test_clashing_names(odd):
+    from pyspark.sql import functions as F
+
+    clash = odd.withColumns({x: F.lit(7) for x in ("qn_doc", "qn_body", "qn_gone", "QN_kept", "qn_lines", "qn_dropped", "doc", "h1", "a.b")})
+    out = line_dedup.rewritten(clash)
+    assert out.columns == clash.columns and out.where("doc_id = 16").first().text == "short"
+    assert {r.qn_doc for r in out.collect()} == {7}
+    assert line_dedup.added(clash) == ["qn_lines_", "qn_dropped_", "qn_kept_"]
+    assert line_dedup.deduplicated(clash).where("doc_id = 16").first().qn_kept_ == "short"
 
 
 def test_main_path_has_no_python(odd):

@@ -50,13 +50,19 @@ def test_shards_grow_with_the_table(spark, monkeypatch):
     assert packing.packed(docs).selectExpr("shiftright(bin_id, 32) AS shard").distinct().count() > 20
 
 
+def test_equal_rows_are_dealt_over_all_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCUMENTS", 10)
+    docs = spark.createDataFrame([(1, "the same", "s")] * 300, "doc_id long, text string, source string").repartition(3)
+    got = packing.packed(docs).collect()
+    assert len(got) == 300 == len({r.bin_id for r in got}) and len({r.bin_id >> 32 for r in got}) > 20
+
+
 def test_bins_bound_token_ids_and_hold_no_near_copies(spark, odd, none, odd_rows):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     count = lambda text: len(tokenizer.encode(text or "", add_special_tokens=False).ids) + 1
     got = packing.packed_by_ids(odd, path, capacity=64).collect()
     assert sum(r.n_tokens for r in got) == sum(count(t) for _, t, *_ in odd_rows)

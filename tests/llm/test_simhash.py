@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from quillon.llm import simhash
+from quillon.llm.common import Scratch
 
 
 def brute_fingerprint(text):
@@ -60,13 +61,16 @@ def test_components_against_all_pairs(spark):
     fps = random_fingerprints(400, np.random.default_rng(2))
     ids = np.random.default_rng(3).permutation(len(fps)).tolist()
     vertices = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f, i) for f, i in zip(fps, ids)], "fp long, owner long")
-    roots = dict(simhash.components(simhash.links(vertices)).collect())
+    with Scratch(spark) as scratch:
+        roots = dict(simhash.components(simhash.links(vertices), scratch).collect())
     assert [roots.get(i, i) for i in ids] == groups(ids, fps)
 
 
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
-    assert {tuple(r) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(1, 201)}
+    with Scratch(spark) as scratch:
+        found = simhash.components(edges, scratch).collect()
+    assert {tuple(r) for r in found} == {(i, 0) for i in range(1, 201)}
 
 
 def test_tree_follows_only_edges_within_the_radius():
@@ -119,6 +123,58 @@ def test_stage_keeps_one_of_each_group_of_jaccard_080(spark):
             best[i] = best[j] = low
     docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
     assert dict(simhash.near_copies(docs).collect()) == dict(zip(ids, best))
+    assert dict(simhash.near_copies(docs, sample=0).collect()) == dict(zip(ids, best))
     assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(best)
     far = [(i, j) for i, j in links if (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > simhash.RADIUS]
     assert len(far) > 20  # what the operator's own radius would have kept
+
+
+def test_shingles_of_five_words():
+    def brute(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    rng = np.random.default_rng(12)
+    texts = ["", " ", "a", "a b", "A B c D", "a b c d e", "a b c d e f", "ab c d e f", "a bc d e f", "x " * 40, "Ünï\xa0x y\x0bz w q " * 9]
+    texts += [" ".join(rng.choice(["alpha", "b", "Gamma", "d"], 60)) for _ in range(30)]
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
+    for t, x in zip(texts, sets):
+        assert len(x) == len(brute(t)), t
+        for u, y in zip(texts, sets):
+            assert len(x & y) == len(brute(t) & brute(u))
+
+
+def test_strides_of_long_texts_do_not_matter(monkeypatch):
+    text = " ".join(f"w{i * i % 977}" + "x" * (300 if i % 50 == 0 else 0) for i in range(900)) + "  "
+    whole = simhash.shingle_set(text).tolist()
+    monkeypatch.setattr(simhash, "STRIDE", 64)
+    assert simhash.shingle_set(text).tolist() == whole
+
+
+def test_common_passage_and_large_group(spark):
+    """A passage that all share, one text with many near copies, and others: no link is lost or made."""
+    rng = np.random.default_rng(13)
+    passage = " ".join(f"p{i}" for i in range(60))
+    family = [f"f{x}" for x in rng.integers(0, 9999, 120)]
+    rows = []
+    for i in range(500):
+        if i % 3 == 0:
+            now = list(family)
+            now[int(rng.integers(0, 120))] = f"e{i}"
+            text = " ".join(now)
+        else:
+            text = " ".join(f"o{x}" for x in rng.integers(0, 10**6, 80))
+        rows.append((i, f"{passage} {text}"))
+    got = dict(simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {i: 0 if i % 3 == 0 else i for i, _ in rows}
+
+
+def test_tables_are_removed(spark, odd):
+    from quillon.llm.common import own_dir
+
+    def tables():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+        return {f.getPath().getName().rsplit("-", 1)[0] for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)}
+
+    simhash.near_copies(odd)
+    assert not tables() & {"edges", "marks", "prefixes", "met", "stars", "pairs", "shingles", "links", "rooted", "owners"}
