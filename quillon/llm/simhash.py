@@ -10,13 +10,13 @@ the corpus and must not be broadcast. A task reports a spanning forest of its li
 subtrees that lie in the searcher's component are skipped. Star contraction joins the forests.
 
 The pipeline's stage takes another contract: shingles of five words and Jaccard similarity of 0.8 or
-more. Blocks of bits can't deal 64 bits for the radius that needs, so texts meet by a prefix filter:
-with all shingles in one order, of a set of n the first n - ceil(0.8 n) + 1 hold one in common with the
-prefix of each set as similar. Any order is right; shingles that are common in a sample come last, so
-that a passage of many documents brings none of them together. Texts that meet and whose SimHashes
-differ in at most WIDE_RADIUS bits are candidates, and links are those that an exact comparison of
-shingle sets confirms. Of a group that shares a shingle, each text is first compared with one of it
-only; what that leaves in other components is then joined with the group by Spark, which can split it.
+more. The SimHashes of such texts differ in 10 bits on average and in 20 at times, and no tree of 64-bit
+values prunes anything at that radius. So texts meet by bands of minima instead: each of BANDS keys is
+made of the least of ROWS orders of the shingle set, so that a pair of similarity s shares none of them
+with probability (1 - s^ROWS)^BANDS, 6e-7 at 0.8. Of texts that meet, those whose SimHashes differ in at
+most WIDE_RADIUS bits are candidates, and links are those that an exact comparison of shingle sets
+confirms. Of a group that shares a key, each text is first compared with one of it only; what that leaves
+in other components is then joined with the group by Spark, which can split it.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import small_batches
-from quillon.llm.common import Scratch, hash_fraction, id_text, quiet_threads, remove_path, unused, written, written_at
+from quillon.llm.common import Scratch, id_text, quiet_threads, remove_path, unused, written, written_at
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -40,8 +40,8 @@ STAGE_WORDS = 5
 SIMILAR, OF = 4, 5
 #: Differing bits of candidates. At similarity 0.8 SimHashes differ in 9.7 bits, standard deviation 2.9.
 WIDE_RADIUS = 26
-#: Documents, in expectation, in which common shingles are sought; how often one must occur there; how many are kept.
-COMMON_SAMPLE, COMMON_TIMES, MOST_COMMON = 20_000, 6, 1 << 18
+#: Keys of a text, and minima in each.
+BANDS, ROWS = 20, 3
 #: Bytes of text whose shingles are hashed at once; a longer text is cut between words.
 STRIDE = 1 << 20
 # Odd multipliers of well-known 64-bit mixers.
@@ -251,49 +251,84 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: A random number for each byte after lower-casing, none for white space.
-BYTES = np.where(WHITE, np.uint64(0), mixed(LOWER_TABLE.astype(np.uint64) + MIXERS[0]))
-
-
-def word_hashes(raw: np.ndarray) -> np.ndarray:
-    """A hash of each word of the bytes, in order: its bytes' numbers weighted by powers of an odd one."""
-    white = WHITE[raw]
-    starts = np.flatnonzero(~white & np.append(True, white[:-1]))
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    place = np.arange(starts[0], len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
-    power = np.full(int(place.max()) + 1, MIXERS[3])
-    power[0] = 1
-    return mixed(np.add.reduceat(BYTES[raw[starts[0] :]] * np.multiply.accumulate(power)[place], starts - starts[0]))
+#: Odd numbers; each gives one order of shingle hashes.
+ORDERS = mixed(np.arange(1, BANDS * ROWS + 1).astype(np.uint64) * MIXERS[0]) | np.uint64(1)
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and a hash of each word of the bytes, in order: A-Z lower-cased, eight bytes at a time."""
+    white = np.ones(len(raw) + 2, bool)
+    white[1:-1] = WHITE[raw]
+    edges = np.flatnonzero(white[1:] != white[:-1])
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    low = np.zeros(len(raw) + 8, np.uint8)
+    low[:-8] = LOWER_TABLE[raw]
+    eights = np.ndarray(len(raw) + 1, "<u8", low, strides=(1,))
+    out = mixed(lengths.astype(np.uint64) * MIXERS[3] ^ (eights[starts] & MASKS[np.minimum(lengths, 8)]))
+    long, at = np.flatnonzero(lengths > 8), 8
+    while len(long):
+        out[long] = mixed(out[long] * MIXERS[4] ^ (eights[starts[long] + at] & MASKS[np.minimum(lengths[long] - at, 8)]))
+        at += 8
+        long = long[lengths[long] > at]
+    return starts, out
+
+
+def combined(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of width words."""
+    total = np.full(len(words) - width + 1, np.uint64(width))
+    for i in range(width):
+        total = (total + words[i : i + len(total)]) * MIXERS[i]
+        total ^= total >> np.uint64(29)
+    return mixed(total)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
+def sets_of(texts: list[str]) -> list[np.ndarray]:
+    """For each text the distinct hashes of the stage's shingles, ascending; of all its words where they are fewer."""
+    out: list[np.ndarray] = []
+    raws = [x.encode("utf-8", "surrogatepass") for x in texts]
+    at = 0
+    while at < len(raws):
+        stop, size = at, 0
+        while stop < len(raws) and (stop == at or size + len(raws[stop]) <= STRIDE):
+            size += len(raws[stop]) + 1
+            stop += 1
+        if size > STRIDE:  # one long text
+            words = np.concatenate([word_hashes(part)[1] for part in cut(np.frombuffer(raws[at], np.uint8))])
+            out.append(distinct(combined(words, min(len(words), STAGE_WORDS))) if len(words) else words)
+        else:
+            starts, words = word_hashes(np.frombuffer(b"\n".join(raws[at:stop]), np.uint8))
+            begins = np.cumsum([0, *(len(x) + 1 for x in raws[at:stop])])
+            first = np.searchsorted(starts, begins).tolist()
+            every = combined(words, STAGE_WORDS) if len(words) >= STAGE_WORDS else words[:0]
+            for a, b in zip(first, first[1:]):
+                few = b - a < STAGE_WORDS
+                out.append(combined(words[a:b], b - a) if few and b > a else every[:0] if few else distinct(every[a : b - STAGE_WORDS + 1]))
+        at = stop
+    return out
 
 
-def text_words(text: str) -> np.ndarray:
-    """word_hashes() of a whole text, taken in runs of about STRIDE bytes that end between words."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    if len(raw) <= STRIDE:
-        return word_hashes(raw)
-    parts, at = [], 0
+def cut(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs of about STRIDE bytes that end between words."""
+    at = 0
     while at < len(raw):
         stop = min(at + STRIDE, len(raw))
         while stop < len(raw) and not WHITE[raw[stop]]:
             after = np.flatnonzero(WHITE[raw[stop : stop + STRIDE]])
             stop += int(after[0]) if len(after) else len(raw[stop : stop + STRIDE])
-        parts.append(word_hashes(raw[at:stop]))
+        yield raw[at:stop]
         at = stop
-    return np.concatenate(parts)
 
 
 def shingle_set(text: str) -> np.ndarray:
-    """Distinct hashes of the stage's shingles, ascending; of all words where they are fewer."""
-    words = text_words(text)
-    n = min(len(words), STAGE_WORDS)
-    if not n:
-        return np.zeros(0, np.uint64)
-    total = np.full(len(words) - n + 1, np.uint64(n))
-    for i in range(n):
-        total = (total + words[i : i + len(total)]) * MIXERS[i]
-        total ^= total >> np.uint64(29)
-    return np.unique(mixed(total))
+    return sets_of([text])[0]
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -302,7 +337,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quiet_threads()
         for doc_ids, texts in small_batches(batches):
-            sets = [shingle_set(x) for x in texts]
+            sets = sets_of(texts)
             yield pa.RecordBatch.from_arrays([doc_ids, arrays(sets)], ["doc_id", "hashes"])
 
     return docs.mapInArrow(run, "doc_id long, hashes array<long>")
@@ -313,59 +348,54 @@ def arrays(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *rows]).view(np.int64)))
 
 
-def prefix_length(n: int) -> int:
-    return n + n * -SIMILAR // OF + 1 if n else 0
-
-
-def common_shingles(docs: DataFrame, sample: int = COMMON_SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur often in a sample of documents, ascending, and how often: MOST_COMMON at most.
-
-    They only order the shingles; which texts are similar does not depend on them.
-    """
-    share = min(1.0, sample / max(1, docs.count()))
-    rows = id_text(docs).where(F.col("doc_id").isNotNull() & (hash_fraction(F.col("doc_id"), "common shingles") < share))
-    counts = shingle_sets(rows).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    found = counts.where(F.col("n") >= COMMON_TIMES).orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
-    h, n = np.array(found["h"], np.int64).view(np.uint64), np.array(found["n"], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def marked(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, 128-bit digest (high, low) of the shingle set, its size n, its SimHash fp, its prefix, of rows with an id.
-
-    The prefix is in the order of all shingles: those not common first, then by how common, then by hash.
-    """
-    known, times = common
-
-    def first(x: np.ndarray) -> np.ndarray:
-        if len(known) and len(x):
-            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-            weight = np.where(known[at] == x, times[at], 0)
-            if weight.any():
-                x = x[np.argsort(weight, kind="stable")]
-        return x[: prefix_length(len(x))]
+def band_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """BANDS keys of each shingle set; none of an empty one."""
+    full = [x for x in sets if len(x)]
+    if not full:
+        return [x[:0] for x in sets]
+    keys = np.empty((len(full), BANDS), np.uint64)
+    done = 0
+    for group in runs_of(full):
+        every, starts = np.concatenate(group), np.cumsum([0, *map(len, group[:-1])])
+        order = np.empty_like(every)
+        for band in range(BANDS):
+            key = np.full(len(group), np.uint64(band + 1))
+            for row in range(ROWS):
+                np.multiply(every, ORDERS[band * ROWS + row], out=order)
+                order ^= order >> np.uint64(29)
+                order *= MIXERS[2]
+                key = mixed((key + np.minimum.reduceat(order, starts)) * MIXERS[row])
+            keys[done : done + len(group), band] = key
+        done += len(group)
+    rows = iter(keys)
+    return [next(rows) if len(x) else x[:0] for x in sets]
+
+
+def runs_of(sets: list[np.ndarray], size: int = 1 << 15) -> Iterator[list[np.ndarray]]:
+    """Runs of sets of about size hashes together, which fit a core's cache."""
+    run, n = [], 0
+    for x in sets:
+        run.append(x)
+        n += len(x)
+        if n >= size:
+            yield run
+            run, n = [], 0
+    if run:
+        yield run
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, 128-bit digest (high, low) of the shingle set, its SimHash fp, its keys, of rows with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quiet_threads()
         for doc_ids, texts in small_batches(batches):
-            sets = [shingle_set(x) for x in texts]
+            sets = sets_of(texts)
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets), np.int64).reshape(-1, 2)
-            sizes = np.array([len(x) for x in sets], np.int64)
-            marks = np.array([majority([x[at : at + STRIDE] for at in range(0, len(x), STRIDE)]) for x in sets], np.uint64).view(np.int64)
-            columns = [doc_ids, *(pa.array(np.ascontiguousarray(x)) for x in (digests[:, 0], digests[:, 1], sizes, marks)), arrays([first(x) for x in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "high", "low", "n", "fp", "prefix"])
-
-    return id_text(docs).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, high long, low long, n long, fp long, prefix array<long>")
-
+            marks = np.array([majority(x[at : at + STRIDE] for at in range(0, len(x), STRIDE)) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(np.ascontiguousarray(x)) for x in (digests[:, 0], digests[:, 1], marks)), arrays(band_keys(sets))], ["doc_id", "high", "low", "fp", "keys"])
 
-def may_be_similar(x: str, y: str) -> str:
-    """Condition on two rows that share a shingle: sizes, its places, were it the first they share, and SimHashes allow similarity."""
-    most = f"1 + least({x}.n - {x}.pos, {y}.n - {y}.pos) - 1"
-    return (
-        f"least({x}.n, {y}.n) * {OF} >= greatest({x}.n, {y}.n) * {SIMILAR} AND ({most}) * {SIMILAR + OF} >= ({x}.n + {y}.n) * {SIMILAR}"
-        f" AND bit_count({x}.fp ^ {y}.fp) <= {WIDE_RADIUS}"
-    )
+    return id_text(docs).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, high long, low long, fp long, keys array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -388,7 +418,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.written(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
-def near_copies(docs: DataFrame, sample: int = COMMON_SAMPLE) -> DataFrame:
+def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id of every row with an id: groups by links of Jaccard similarity 0.8 or more.
 
     Shingles are of STAGE_WORDS words, or all words of a shorter text. component_id is the smallest
@@ -396,35 +426,28 @@ def near_copies(docs: DataFrame, sample: int = COMMON_SAMPLE) -> DataFrame:
     in the shared folder.
     """
     with Scratch(docs.sparkSession) as scratch:
-        marks = scratch.written(marked(docs, common_shingles(docs, sample)), "marks")
+        marks = scratch.written(marked(docs), "marks")
         owners = scratch.written(marks.groupBy("high", "low").agg(F.min("doc_id").alias("owner")), "owners")
         copies = marks.select("doc_id", "high", "low").join(owners.hint("merge"), ["high", "low"]).where("doc_id <> owner").select(F.col("doc_id").alias("a"), F.col("owner").alias("b"))
         # Of equal sets one, that of the smallest id, meets others.
-        rows = marks.where("n > 0").join(owners.select("high", "low", F.col("owner").alias("doc_id")).hint("merge"), ["high", "low", "doc_id"], "left_semi").dropDuplicates(["high", "low"])
-        rows = scratch.written(rows.select("doc_id", "n", "fp", F.posexplode("prefix").alias("pos", "h")), "prefixes")
-        hubs = rows.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("doc_id", "n", "pos", "fp")).alias("hub")).where("many > 1")
-        met = scratch.written(rows.join(hubs.select("h", "hub").hint("merge"), "h"), "met")
-        stars = scratch.written(met.alias("row").where("hub.doc_id <> row.doc_id AND " + may_be_similar("row", "hub")).select(F.col("hub.doc_id").alias("a"), F.col("row.doc_id").alias("b")).distinct(), "stars")
+        rows = marks.join(owners.select("high", "low", F.col("owner").alias("doc_id")).hint("merge"), ["high", "low", "doc_id"], "left_semi").dropDuplicates(["high", "low"])
+        rows = scratch.written(rows.select("doc_id", "fp", F.explode("keys").alias("key")), "keys")
+        hubs = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("doc_id", "fp")).alias("hub")).where("many > 1")
+        met = scratch.written(rows.join(hubs.select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.fp").alias("hub_fp")).hint("merge"), "key"), "met")
+        stars = scratch.written(met.where(f"hub <> doc_id AND bit_count(fp ^ hub_fp) <= {WIDE_RADIUS}").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
         first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         found = confirmed(first, docs, scratch)
         roots = components(found, scratch)
-
-        def apart(pairs: DataFrame) -> DataFrame:
-            """Those of the pairs that lie in two components yet."""
-            named = [roots.select(F.col("vertex").alias(x), F.col("root").alias(f"{x}_root")).hint("merge") for x in ("a", "b")]
-            return pairs.join(named[0], "a", "left").join(named[1], "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
-
-        found = found.union(confirmed(apart(stars.join(first, ["a", "b"], "left_anti")), docs, scratch))
+        root = lambda x: roots.select(F.col("vertex").alias(x), F.col("root").alias(f"{x}_root")).hint("merge")
+        # The other hubs of texts that lie in another component yet.
+        others = stars.join(first, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
+        found = found.union(confirmed(others, docs, scratch))
         roots = components(found, scratch)
-        named = roots.select(F.col("vertex").alias("doc_id"), "root")
-        rooted = met.join(named.hint("merge"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        hub_root = roots.select(F.col("vertex").alias("hub_id"), F.col("root").alias("hub_root"))
-        rooted = rooted.withColumn("hub_id", F.col("hub.doc_id")).join(hub_root.hint("merge"), "hub_id", "left").withColumn("hub_root", F.coalesce("hub_root", "hub_id"))
-        rooted = scratch.written(rooted.select("h", "doc_id", "n", "pos", "fp", "root", "hub_id", (F.col("root") != F.col("hub_root")).alias("outside")), "rooted")
-        outside = rooted.where("outside")
+        rooted = met.join(root("doc_id"), "doc_id", "left").join(root("hub"), "hub", "left").select("key", "doc_id", "fp", "hub", F.coalesce("doc_id_root", "doc_id").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"))
+        rooted = scratch.written(rooted.withColumn("outside", F.expr("root <> hub_root")), "rooted")
         # Of two rows in different components one at least lies outside the hub's.
-        condition = "x.h = y.h AND x.root <> y.root AND y.doc_id <> y.hub_id AND (NOT y.outside OR x.doc_id < y.doc_id) AND " + may_be_similar("x", "y")
-        more = outside.alias("x").join(rooted.alias("y").hint("merge"), F.expr(condition)).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+        condition = f"x.key = y.key AND x.root <> y.root AND y.doc_id <> y.hub AND (NOT y.outside OR x.doc_id < y.doc_id) AND bit_count(x.fp ^ y.fp) <= {WIDE_RADIUS}"
+        more = rooted.where("outside").alias("x").join(rooted.alias("y").hint("merge"), F.expr(condition)).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
         found = found.union(confirmed(more, docs, scratch))
         roots = components(found.union(copies), scratch)
         return written(marks.select("doc_id").join(roots.hint("merge"), F.col("doc_id") == F.col("vertex"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id")), "near-copies")

@@ -123,7 +123,6 @@ def test_stage_keeps_one_of_each_group_of_jaccard_080(spark):
             best[i] = best[j] = low
     docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
     assert dict(simhash.near_copies(docs).collect()) == dict(zip(ids, best))
-    assert dict(simhash.near_copies(docs, sample=0).collect()) == dict(zip(ids, best))
     assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(best)
     far = [(i, j) for i, j in links if (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > simhash.RADIUS]
     assert len(far) > 20  # what the operator's own radius would have kept
@@ -146,9 +145,12 @@ def test_shingles_of_five_words():
 
 def test_strides_of_long_texts_do_not_matter(monkeypatch):
     text = " ".join(f"w{i * i % 977}" + "x" * (300 if i % 50 == 0 else 0) for i in range(900)) + "  "
-    whole = simhash.shingle_set(text).tolist()
-    monkeypatch.setattr(simhash, "STRIDE", 64)
-    assert simhash.shingle_set(text).tolist() == whole
+    texts = [text, "a b", "", text[:200], "one " * 9, text]
+    whole = [simhash.shingle_set(t).tolist() for t in texts]
+    assert [x.tolist() for x in simhash.sets_of(texts)] == whole
+    for stride in (64, 700, 3000):
+        monkeypatch.setattr(simhash, "STRIDE", stride)
+        assert [x.tolist() for x in simhash.sets_of(texts)] == whole
 
 
 def test_common_passage_and_large_group(spark):
@@ -177,4 +179,17 @@ def test_tables_are_removed(spark, odd):
         return {f.getPath().getName().rsplit("-", 1)[0] for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)}
 
     simhash.near_copies(odd)
-    assert not tables() & {"edges", "marks", "prefixes", "met", "stars", "pairs", "shingles", "links", "rooted", "owners"}
+    assert not tables() & {"edges", "marks", "keys", "met", "stars", "pairs", "shingles", "links", "rooted", "owners"}
+
+
+def test_bands_meet_as_calculated():
+    rng = np.random.default_rng(14)
+    met, shared = 0, 0
+    for _ in range(300):
+        x = rng.integers(0, 2**63, 90).astype(np.uint64)
+        a, b = simhash.band_keys([np.unique(x[:80]), np.unique(x[10:])])  # similarity 70 of 90
+        equal = int((a == b).sum())
+        met, shared = met + (equal > 0), shared + equal
+    assert met == 300 and abs(shared / 300 / simhash.BANDS - (7 / 9) ** simhash.ROWS) < 0.03
+    one, none, two = simhash.band_keys([x, x[:0], x])
+    assert (one == two).all() and len(none) == 0
