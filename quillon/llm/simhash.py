@@ -15,8 +15,10 @@ values prunes anything at that radius. So texts meet by bands of minima instead:
 made of the least of ROWS orders of the shingle set, so that a pair of similarity s shares none of them
 with probability (1 - s^ROWS)^BANDS, 6e-7 at 0.8. Of texts that meet, those whose SimHashes differ in at
 most WIDE_RADIUS bits are candidates, and links are those that an exact comparison of shingle sets
-confirms. Of a group that shares a key, each text is first compared with one of it only; what that leaves
-in other components is then joined with the group by Spark, which can split it.
+confirms. Of a group that shares a key, each text is compared with the hub of it: the text that shares keys
+with the most others, as the one does that copies were made from. What this leaves in other components is
+compared with the whole group in groups of up to SMALL_GROUP texts; in larger ones, where that would grow
+with the square of the group, with a new hub of those left, HUB_ROUNDS times.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ SIMILAR, OF = 4, 5
 WIDE_RADIUS = 26
 #: Keys of a text, and minima in each.
 BANDS, ROWS = 20, 3
+SMALL_GROUP, HUB_ROUNDS = 64, 2
 #: Bytes of text whose shingles are hashed at once; a longer text is cut between words.
 STRIDE = 1 << 20
 # Odd multipliers of well-known 64-bit mixers.
@@ -418,12 +421,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.written(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, rounds: int = HUB_ROUNDS) -> DataFrame:
     """doc_id, component_id of every row with an id: groups by links of Jaccard similarity 0.8 or more.
 
     Shingles are of STAGE_WORDS words, or all words of a shorter text. component_id is the smallest
     doc_id reachable. Texts without words link to each other. Texts under one id count as one. A table
-    in the shared folder.
+    in the shared folder. A link is missed if its texts share no key, see BANDS, or if all keys they
+    share are of groups of more than SMALL_GROUP texts, no hub of these joins them, and nothing else
+    does; with as many rounds as the largest group has members none is missed for the latter reason.
     """
     with Scratch(docs.sparkSession) as scratch:
         marks = scratch.written(marked(docs), "marks")
@@ -432,23 +437,47 @@ def near_copies(docs: DataFrame) -> DataFrame:
         # Of equal sets one, that of the smallest id, meets others.
         rows = marks.join(owners.select("high", "low", F.col("owner").alias("doc_id")).hint("merge"), ["high", "low", "doc_id"], "left_semi").dropDuplicates(["high", "low"])
         rows = scratch.written(rows.select("doc_id", "fp", F.explode("keys").alias("key")), "keys")
-        hubs = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("doc_id", "fp")).alias("hub")).where("many > 1")
-        met = scratch.written(rows.join(hubs.select("key", F.col("hub.doc_id").alias("hub"), F.col("hub.fp").alias("hub_fp")).hint("merge"), "key"), "met")
-        stars = scratch.written(met.where(f"hub <> doc_id AND bit_count(fp ^ hub_fp) <= {WIDE_RADIUS}").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-        first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+        met = scratch.written(rows.join(groups.hint("merge"), "key"), "met")
+        weights = met.groupBy("doc_id").agg(F.sum("many").alias("weight"))
+        met = scratch.written(met.join(weights.hint("merge"), "doc_id"), "weighed")
+
+        def stars(some: DataFrame) -> DataFrame:
+            """Each text of a group with the group's hub (a, its weight, b), where their SimHashes allow similarity."""
+            hubs = some.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "fp")).alias("hub"))
+            pairs = some.join(hubs.hint("merge"), "key").where(f"-hub.minus <> doc_id AND bit_count(fp ^ hub.fp) <= {WIDE_RADIUS}")
+            return pairs.groupBy((-F.col("hub.minus")).alias("a"), F.col("doc_id").alias("b")).agg(F.max("hub.weight").alias("weight"))
+
+        def rooted(found: DataFrame) -> DataFrame:
+            """met with the root of each text, and whether it is not that of its group's heaviest."""
+            roots = components(found, scratch).select(F.col("vertex").alias("doc_id"), "root")
+            named = met.join(roots.hint("merge"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+            most = named.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "root")).alias("top"))
+            return scratch.written(named.join(most.hint("merge"), "key").withColumn("outside", F.expr("root <> top.root")).drop("top"), "rooted")
+
+        def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+            """Those of the pairs that lie in two components yet."""
+            roots = components(found, scratch)
+            root = lambda x: roots.select(F.col("vertex").alias(x), F.col("root").alias(f"{x}_root")).hint("merge")
+            return pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
+
+        pairs = scratch.written(stars(met), "stars")
+        first = pairs.groupBy("b").agg(F.max_by("a", F.struct("weight", (-F.col("a")).alias("minus"))).alias("a")).select("a", "b")
         found = confirmed(first, docs, scratch)
-        roots = components(found, scratch)
-        root = lambda x: roots.select(F.col("vertex").alias(x), F.col("root").alias(f"{x}_root")).hint("merge")
-        # The other hubs of texts that lie in another component yet.
-        others = stars.join(first, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
-        found = found.union(confirmed(others, docs, scratch))
-        roots = components(found, scratch)
-        rooted = met.join(root("doc_id"), "doc_id", "left").join(root("hub"), "hub", "left").select("key", "doc_id", "fp", "hub", F.coalesce("doc_id_root", "doc_id").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"))
-        rooted = scratch.written(rooted.withColumn("outside", F.expr("root <> hub_root")), "rooted")
-        # Of two rows in different components one at least lies outside the hub's.
-        condition = f"x.key = y.key AND x.root <> y.root AND y.doc_id <> y.hub AND (NOT y.outside OR x.doc_id < y.doc_id) AND bit_count(x.fp ^ y.fp) <= {WIDE_RADIUS}"
-        more = rooted.where("outside").alias("x").join(rooted.alias("y").hint("merge"), F.expr(condition)).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+        found = found.union(confirmed(apart(pairs.join(first, ["a", "b"], "left_anti"), found), docs, scratch))
+        left = rooted(found)
+        small = left.where(f"many <= {SMALL_GROUP}")
+        # Of two rows in different components one at least lies outside that of the heaviest.
+        condition = f"x.key = y.key AND x.root <> y.root AND (NOT y.outside OR x.doc_id < y.doc_id) AND bit_count(x.fp ^ y.fp) <= {WIDE_RADIUS}"
+        more = small.where("outside").alias("x").join(small.alias("y").hint("merge"), F.expr(condition)).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
         found = found.union(confirmed(more, docs, scratch))
+        for _ in range(rounds):
+            left = left.where(f"many > {SMALL_GROUP} AND outside")
+            if left.isEmpty():
+                break
+            found = found.union(confirmed(apart(stars(left), found), docs, scratch))
+            met = left.drop("root", "outside")
+            left = rooted(found)
         roots = components(found.union(copies), scratch)
         return written(marks.select("doc_id").join(roots.hint("merge"), F.col("doc_id") == F.col("vertex"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id")), "near-copies")
 

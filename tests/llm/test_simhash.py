@@ -179,7 +179,7 @@ def test_tables_are_removed(spark, odd):
         return {f.getPath().getName().rsplit("-", 1)[0] for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)}
 
     simhash.near_copies(odd)
-    assert not tables() & {"edges", "marks", "keys", "met", "stars", "pairs", "shingles", "links", "rooted", "owners"}
+    assert not tables() & {"edges", "marks", "keys", "met", "weighed", "stars", "pairs", "shingles", "links", "rooted", "owners"}
 
 
 def test_bands_meet_as_calculated():
@@ -193,3 +193,22 @@ def test_bands_meet_as_calculated():
     assert met == 300 and abs(shared / 300 / simhash.BANDS - (7 / 9) ** simhash.ROWS) < 0.03
     one, none, two = simhash.band_keys([x, x[:0], x])
     assert (one == two).all() and len(none) == 0
+
+
+def test_large_group_about_one_text_and_its_outliers(spark, monkeypatch):
+    """Copies like one text but not like each other, in groups larger than those that are compared whole."""
+    monkeypatch.setattr(simhash, "SMALL_GROUP", 8)
+    rng = np.random.default_rng(15)
+    base = [f"f{x}" for x in range(120)]
+    rows = [(500, " ".join(base))]
+    for i in range(200):
+        now = list(base)
+        for at in rng.choice(24, 2, replace=False):  # 10 of 116 shingles go: 0.84 with the base, 0.7 with others
+            now[int(at) * 5] = f"e{i}"
+        rows.append((i, " ".join(now)))
+    rows += [(600 + i, " ".join(base[:60] + [f"g{i}x{j}" for j in range(40)])) for i in range(5)]
+    got = dict(simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    sets = {i: set(simhash.shingle_set(t).tolist()) for i, t in rows}
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    assert sum(alike(i, i + 1) for i in range(199)) < 40
+    assert got == {i: (0 if i <= 500 else i) for i, _ in rows} and all(alike(i, 500) for i in range(200))
