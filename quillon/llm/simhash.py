@@ -415,6 +415,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = scratch.written(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = scratch.written(shingle_sets(id_text(docs).join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")), "shingles")
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
@@ -448,37 +450,40 @@ def near_copies(docs: DataFrame, rounds: int = HUB_ROUNDS) -> DataFrame:
             pairs = some.join(hubs.hint("merge"), "key").where(f"-hub.minus <> doc_id AND bit_count(fp ^ hub.fp) <= {WIDE_RADIUS}")
             return pairs.groupBy((-F.col("hub.minus")).alias("a"), F.col("doc_id").alias("b")).agg(F.max("hub.weight").alias("weight"))
 
-        def rooted(found: DataFrame) -> DataFrame:
-            """met with the root of each text, and whether it is not that of its group's heaviest."""
-            roots = components(found, scratch).select(F.col("vertex").alias("doc_id"), "root")
-            named = met.join(roots.hint("merge"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        def joined(roots: DataFrame, found: DataFrame) -> DataFrame:
+            """The roots after more links."""
+            if found.isEmpty():
+                return roots
+            return components(found.union(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b"))), scratch)
+
+        def rooted(some: DataFrame, roots: DataFrame) -> DataFrame:
+            """Rows with the root of each text, and whether it is not that of its group's heaviest."""
+            named = some.join(roots.select(F.col("vertex").alias("doc_id"), "root").hint("merge"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
             most = named.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "root")).alias("top"))
             return scratch.written(named.join(most.hint("merge"), "key").withColumn("outside", F.expr("root <> top.root")).drop("top"), "rooted")
 
-        def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
             """Those of the pairs that lie in two components yet."""
-            roots = components(found, scratch)
             root = lambda x: roots.select(F.col("vertex").alias(x), F.col("root").alias(f"{x}_root")).hint("merge")
             return pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
 
         pairs = scratch.written(stars(met), "stars")
         first = pairs.groupBy("b").agg(F.max_by("a", F.struct("weight", (-F.col("a")).alias("minus"))).alias("a")).select("a", "b")
-        found = confirmed(first, docs, scratch)
-        found = found.union(confirmed(apart(pairs.join(first, ["a", "b"], "left_anti"), found), docs, scratch))
-        left = rooted(found)
+        roots = components(confirmed(first, docs, scratch), scratch)
+        roots = joined(roots, confirmed(apart(pairs.join(first, ["a", "b"], "left_anti"), roots), docs, scratch))
+        left = rooted(met, roots)
         small = left.where(f"many <= {SMALL_GROUP}")
         # Of two rows in different components one at least lies outside that of the heaviest.
         condition = f"x.key = y.key AND x.root <> y.root AND (NOT y.outside OR x.doc_id < y.doc_id) AND bit_count(x.fp ^ y.fp) <= {WIDE_RADIUS}"
         more = small.where("outside").alias("x").join(small.alias("y").hint("merge"), F.expr(condition)).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-        found = found.union(confirmed(more, docs, scratch))
+        roots = joined(roots, confirmed(more, docs, scratch))
         for _ in range(rounds):
-            left = left.where(f"many > {SMALL_GROUP} AND outside")
+            left = left.where(f"many > {SMALL_GROUP} AND outside").select(met.columns)
             if left.isEmpty():
                 break
-            found = found.union(confirmed(apart(stars(left), found), docs, scratch))
-            met = left.drop("root", "outside")
-            left = rooted(found)
-        roots = components(found.union(copies), scratch)
+            roots = joined(roots, confirmed(apart(stars(left), roots), docs, scratch))
+            left = rooted(left, roots)
+        roots = components(copies.union(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b"))), scratch)
         return written(marks.select("doc_id").join(roots.hint("merge"), F.col("doc_id") == F.col("vertex"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id")), "near-copies")
 
 
