@@ -25,9 +25,14 @@ class Engine:
 
     def __init__(self, spark: SparkSession, catalog: Catalog, rules: dict[str, TableRules] | None = None) -> None:
         self.spark, self.catalog, self.rules = spark, catalog, rules
+        self.write = Writer(self)
 
     def as_caller(self, rules: dict[str, TableRules]) -> Engine:
-        return Engine(self.spark, self.catalog, rules)
+        """The same tables under a caller's rules; hooks registered here run for the caller's writes as well."""
+        caller = Engine(self.spark, self.catalog, rules)
+        for name in ("before", "after", "instead_of_delete"):
+            setattr(caller.write, name, getattr(self.write, name))
+        return caller
 
     def planner(self) -> Planner:
         if self.rules is None:
@@ -192,9 +197,3 @@ class Engine:
         finally:
             done.set()
             context.removeJobTag(tag)
-
-    # -- writes -------------------------------------------------------------------------------
-
-    @property
-    def write(self) -> Writer:
-        return Writer(self)

@@ -72,6 +72,8 @@ def merged(column: Column, args: list) -> Column:
 
 
 class Writer:
+    """The writes of an engine, which keeps one of these: hooks and open transactions hold for all of them."""
+
     def __init__(self, engine: Engine) -> None:
         self.engine, self.catalog, self.spark = engine, engine.catalog, engine.spark
         self.before: dict[str, list[Callable]] = {}
@@ -89,13 +91,29 @@ class Writer:
             raise QueryError(f"Not allowed to access table {table}")
         return self.engine.rules[table].need(command)
 
-    def condition(self, info: TableInfo, wanted: object, filter_fields: object = None) -> Column:
+    def condition(self, info: TableInfo, wanted: object, planner: Planner | None = None, allowed: list[str] | None = None) -> Column:
+        """A filter of our own: every column and table may be tested, unless a planner and columns are given."""
         scope = Scope({c: info.dtype(c) for c in info.columns})
-        allowed = None if filter_fields is None else parse_fields(filter_fields, info.columns)
-        planner = Planner(self.catalog)
+        planner = planner or Planner(self.catalog)
         found = compile_filter(FilterScope(scope, allowed, exists=lambda kind, value: planner.exists(info.name, kind, value)), wanted)
         return F.lit(True) if found is None else F.coalesce(found, F.lit(False))
 
+    def hits(self, info: TableInfo, wanted: dict | None, rule: UpdateRule | DeleteRule) -> Column:
+        """The caller's filter under the caller's rules, and the rule's own filter, which those don't bind."""
+        found = self.condition(info, wanted, self.engine.planner(), self.filterable(info, rule))
+        return found & self.condition(info, rule.forced_filter) if rule.forced_filter else found
+
+    def filterable(self, info: TableInfo, rule: UpdateRule | DeleteRule) -> list[str] | None:
+        """Columns that a caller may test in a write: filter_fields; without, what the caller may read or update."""
+        if rule.filter_fields is not None:
+            return parse_fields(rule.filter_fields, info.columns)
+        if self.engine.rules is None:
+            return None
+        select = self.engine.rules[info.name].select
+        named = [r.fields for r in (select, rule) if r is not None and hasattr(r, "fields")]
+        known = {c for fields in named for c in parse_fields(fields, info.columns)}
+        return [c for c in info.columns if c in known] if named else None
+
     def verify(self, info: TableInfo, rows: DataFrame, check_filter: dict | None) -> None:
         """Column checks and the rule's check filter hold for every row written."""
         tests = []
@@ -302,15 +320,15 @@ class Writer:
 
     def update(self, table: str, wanted: dict, data: dict, returning: object = None, multi: bool = True, remove_disallowed: bool = False) -> DataFrame:
         info, rule = self.catalog.table(table), self.rule(table, "update")
-        forced = both(wanted, rule.forced_filter)
+        hit = self.hits(info, wanted, rule)
         for hook in self.before.get(f"{table}.update", []):
             data = hook(data)
         if remove_disallowed:
             allowed = parse_fields(rule.fields, info.columns)
             data = {k: v for k, v in data.items() if k in allowed}
         if any(isinstance(v, dict) and not is_call(v) and isinstance(info.dtype(k), T.AtomicType) and any(c[0][0] == k for cs in self.catalog.edges[table].values() for c in cs) for k, v in data.items() if k in info.columns):
-            if info.df.alias(ROOT).where(self.condition(info, forced)).limit(2).count() > 1:
-                raise QueryError("Nested inserts are only allowed in updates of one row")
+            if info.df.alias(ROOT).where(hit).limit(2).count() > 1:
+                raise QueryError("An update that matches several rows can't insert nested rows")
             data = self.nested(info, data, rule)
         if not rule.dynamic_fields:
             self.fields(info, [k for k in data if k not in rule.forced_data], rule)
@@ -320,13 +338,12 @@ class Writer:
         bad = [k for k in data if k not in info.columns]
         if bad:
             raise QueryError(f"Disallowed/invalid columns in data for {table}: {', '.join(bad)}")
-        hit = self.condition(info, forced, rule.filter_fields)
         marked = info.df.alias(ROOT).select(f"{ROOT}.*", hit.alias("hit__"))
         self.dynamic(info, marked, rule, data)
         new = [F.when(F.col("hit__"), value_column(data[c], info.dtype(c), F.col(f"`{c}`"))).otherwise(F.col(f"`{c}`")).alias(c) if c in data else F.col(f"`{c}`") for c in info.columns]
         affected = marked.where("hit__").select(*new)
         if not multi and affected.limit(2).count() > 1:
-            raise QueryError("More than 1 row modified")
+            raise QueryError("The update matches several rows, but multi is off")
         self.verify(info, affected, rule.check_filter)
         self.swap(info, marked.select(*new), affected, "update", data)
         return self.returned(info, affected, returning)
@@ -359,7 +376,7 @@ class Writer:
     def upsert(self, table: str, wanted: dict, data: dict, returning: object = None) -> DataFrame:
         """Update what the filter finds; where it finds nothing, insert data and the filter's values (which win)."""
         info = self.catalog.table(table)
-        if not info.df.alias(ROOT).where(self.condition(info, wanted)).isEmpty():
+        if not info.df.alias(ROOT).where(self.hits(info, wanted, self.rule(table, "update"))).isEmpty():
             return self.update(table, wanted, data, returning)
         return self.insert(table, {**data, **wanted}, returning=returning)
 
@@ -369,7 +386,7 @@ class Writer:
         if table in self.instead_of_delete:
             self.instead_of_delete[table](both(wanted, rule.forced_filter))
             return self.returned(info, info.df.limit(0), returning)
-        hit = self.condition(info, both(wanted, rule.forced_filter), rule.filter_fields)
+        hit = self.hits(info, wanted, rule)
         marked = info.df.alias(ROOT).select(f"{ROOT}.*", hit.alias("hit__"))
         affected = marked.where("hit__").select(*[F.col(f"`{c}`") for c in info.columns])
         self.swap(info, marked.where("NOT hit__").select(*[F.col(f"`{c}`") for c in info.columns]), affected, "delete")

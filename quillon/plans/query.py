@@ -234,7 +234,7 @@ class Planner:
             out = grouped(base, query, [])
             out = sort(out, query.order, {}) if query.order else out
         elif query.joins:
-            out = self.with_joins(base, query)
+            return self.with_joins(base, query)
         else:
             out = plain(base, query)
         return window(out, query)
@@ -243,19 +243,29 @@ class Planner:
         own = [x for x in query.items if x.kind != "join"]
         hidden = {key.key: f"qsort_{i}" for i, key in enumerate(query.order)}
         parents = base.select(*[F.col(f"{ROOT}.`{c}`") for c in query.source.columns])
+        aliases = {x.alias: x.column for x in own if x.kind != "column"}
+        # Where no join decides which parents there are nor their order, they are cut before they meet children.
+        own_order = all(k.key in query.scope.columns or k.key in aliases for k in query.order)
+        cut = own_order and (query.limit is not None or query.offset > 0) and not any(x.join.inner for x in query.joins)
+        if cut:
+            ordered = base.orderBy(*[k.order(aliases.get(k.key, query.scope.col(k.key))) for k in query.order]) if query.order else base
+            parents = window(ordered, query).select(*[F.col(f"{ROOT}.`{c}`") for c in query.source.columns])
+        # Which parents a limit leaves is settled, and may be asked twice, if the order tells all rows apart.
+        settled = cut and any(set(g) <= {k.key for k in query.order} for g in self.catalog.table(query.table).unique_groups())
         out = parents
         for number, item in enumerate(query.joins):
             sorts = {k.key: (k.key.split(".", 1)[1], k.asc, hidden[k.key]) for k in query.order if k.key.startswith(f"{item.alias}.") and k.key not in query.scope.columns}
-            side, keys = nested_side(self.catalog, parents, item, list(sorts.values()))
+            side, keys = nested_side(self.catalog, parents, item, list(sorts.values()), settled)
             side = side.select(*[F.col(f"key__{k}").alias(f"k{number}__{k}") for k in keys], F.col("qnested").alias(f"n{number}"), *[s[2] for s in sorts.values()])
             tests = [F.col(f"`{k}`").eqNullSafe(F.col(f"k{number}__{k}")) if len(item.join.hops[0].on) > 1 else F.col(f"`{k}`") == F.col(f"k{number}__{k}") for k in keys]
             out = out.join(side, reduce(Column.__and__, tests), "inner" if item.join.inner else "left").drop(*[f"k{number}__{k}" for k in keys])
             empty = F.array().cast(side.schema[f"n{number}"].dataType)
             out = out.withColumn(f"n{number}", F.coalesce(F.col(f"n{number}"), empty))
         if query.order:
-            aliases = {x.alias: x.column for x in own if x.kind != "column"}
             order = [k.order(F.col(hidden[k.key]) if k.key not in query.scope.columns and k.key not in aliases and "." in k.key else aliases.get(k.key, F.col(f"`{k.key}`"))) for k in query.order]
             out = out.orderBy(*order)
+        if not cut:
+            out = window(out, query)
         places = {x.alias: i for i, x in enumerate(query.joins)}
         return out.select(*[(F.col(f"n{places[x.alias]}") if x.kind == "join" else x.column).alias(x.alias) for x in query.items])
 
@@ -317,11 +327,12 @@ def grouped(base: DataFrame, query: Query, keys: list[str]) -> DataFrame:
     return out.select(*[F.col(k) for k in keys], *[F.col(f"`{x.alias}`") for x in query.items])
 
 
-def nested_side(catalog: Catalog, parents: DataFrame, item: Item, sorts: list[tuple[str, bool, str]]) -> tuple[DataFrame, list[str]]:
+def nested_side(catalog: Catalog, parents: DataFrame, item: Item, sorts: list[tuple[str, bool, str]], wanted_only: bool = False) -> tuple[DataFrame, list[str]]:
     """A row for each join key: the key columns, qnested (array of structs), and values to sort parents by.
 
     The children are aggregated once for each key, before they meet the parents. A limit becomes a
-    rank filter, which Catalyst cuts to a limit in each group before the shuffle.
+    rank filter, which Catalyst cuts to a limit in each group before the shuffle. wanted_only: the
+    parents are few; children of no other keys are ranked or aggregated.
     """
     query, hops = item.join.query, item.join.hops
     last = query.source.alias(ROOT)
@@ -330,6 +341,10 @@ def nested_side(catalog: Catalog, parents: DataFrame, item: Item, sorts: list[tu
     side, keys = keyed(catalog, parents, hops, last)
     names = [f"key__{k}" for k in keys]
     side = side.select(*names, *[F.col(f"`last__{c}`").alias(c) for c in query.source.columns])
+    if wanted_only:
+        wanted = parents.select(*[F.col(f"`{k}`").alias(f"wanted__{k}") for k in keys])
+        same = [F.col(f"key__{k}").eqNullSafe(F.col(f"wanted__{k}")) if len(hops[0].on) > 1 else F.col(f"key__{k}") == F.col(f"wanted__{k}") for k in keys]
+        side = side.join(wanted, reduce(Column.__and__, same), "left_semi")
     if query.aggregated or query.group:
         side = grouped(side, query, names)
         values = {x.alias: F.col(f"`{x.alias}`") for x in query.items}

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.engine import Engine
-from quillon.plans.access import SelectRule, TableRules, narrowed
+from quillon.plans.access import DeleteRule, SelectRule, TableRules, UpdateRule, narrowed
 from quillon.sources.catalog import star_catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,8 +103,29 @@ find("filter_by_alias", "nation", {"up": "NATION_3"}, {"select": {"up": {"$upper
 
 # -- sort, limit ----------------------------------------------------------------------------------
 
-find("sort_multi", "customer", {}, {"select": ["c_custkey"], "orderBy": [{"c_mktsegment": 1}, {"c_acctbal": -1}, {"c_custkey": True}], "limit": 40}, "SELECT c_custkey FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 40")
-find("sort_hidden_column", "part", {}, {"select": ["p_partkey"], "orderBy": {"p_retailprice": "desc", "p_partkey": "asc"}, "limit": 25}, "SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25")
+def placed(df: DataFrame) -> DataFrame:
+    """With the place of each row in the order of df, so that a check sees the order of the whole table.
+
+    Partitions of a sorted result follow each other: a row's place is its place in its partition and the
+    rows of the partitions before, whose counts alone come to the driver. Kept, so that both reads see
+    the same partitions.
+    """
+    numbered = df.withColumn("at", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("at", 33)
+    counts = {r.part: r.n for r in numbered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before = list(accumulate((counts[p] for p in sorted(counts)), initial=0))
+    starts = df.sparkSession.createDataFrame(list(zip(sorted(counts), before)), "part long, before long")
+    out = numbered.join(F.broadcast(starts), part == F.col("part"))
+    return out.select(*df.columns, (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1) + 1).alias("place"))
+
+
+def sorted_whole(name: str, table: str, params: dict, source: str, order: str, extend=lambda e: e, base: str | None = None) -> None:
+    key = params["select"][0]
+    query(name, f"SELECT {key}, row_number() OVER (ORDER BY {order}) AS place FROM {source}", base or table)(lambda e: placed(extend(e).find(table, {}, {**params, "limit": None})))
+
+
+sorted_whole("sort_multi", "customer", {"select": ["c_custkey"], "orderBy": [{"c_mktsegment": 1}, {"c_acctbal": -1}, {"c_custkey": True}]}, "customer", "c_mktsegment, c_acctbal DESC, c_custkey")
+sorted_whole("sort_hidden_column", "part", {"select": ["p_partkey"], "orderBy": {"p_retailprice": "desc", "p_partkey": "asc"}}, "part", "p_retailprice DESC, p_partkey")
 find("topk_offset", "orders", {}, {"select": ["o_orderkey", "o_totalprice"], "orderBy": [{"o_totalprice": -1}, {"o_orderkey": 1}], "limit": 20, "offset": 15}, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 15")
 query("limit_default", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1000", "orders")(lambda e: e.find("orders", {}, {"select": ["o_orderkey"], "orderBy": "o_orderkey"}))
 
@@ -115,9 +137,9 @@ def with_nulls(e: Engine) -> Engine:
 
 
 NULLS = "(SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS bal, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE c_mktsegment END AS seg FROM customer)"
-query("sort_nulls_first", f"SELECT c_custkey FROM {NULLS} ORDER BY bal NULLS FIRST, c_custkey LIMIT 60", "customer")(lambda e: with_nulls(e).find("customer_nulls", {}, {"select": ["c_custkey"], "orderBy": [{"key": "bal", "asc": True, "nulls": "first"}, {"c_custkey": 1}], "limit": 60}))
-query("sort_nulls_default", f"SELECT c_custkey FROM {NULLS} ORDER BY bal DESC NULLS FIRST, c_custkey LIMIT 60", "customer")(lambda e: with_nulls(e).find("customer_nulls", {}, {"select": ["c_custkey"], "orderBy": [{"bal": -1}, {"c_custkey": 1}], "limit": 60}))
-query("sort_null_empty", f"SELECT c_custkey FROM {NULLS} ORDER BY nullif(trim(seg), '') DESC NULLS LAST, c_custkey LIMIT 60", "customer")(lambda e: with_nulls(e).find("customer_nulls", {}, {"select": ["c_custkey"], "orderBy": [{"key": "seg", "asc": False, "nulls": "last", "nullEmpty": True}, {"c_custkey": 1}], "limit": 60}))
+sorted_whole("sort_nulls_first", "customer_nulls", {"select": ["c_custkey"], "orderBy": [{"key": "bal", "asc": True, "nulls": "first"}, {"c_custkey": 1}]}, NULLS, "bal NULLS FIRST, c_custkey", with_nulls, "customer")
+sorted_whole("sort_nulls_default", "customer_nulls", {"select": ["c_custkey"], "orderBy": [{"bal": -1}, {"c_custkey": 1}]}, NULLS, "bal DESC NULLS FIRST, c_custkey", with_nulls, "customer")
+sorted_whole("sort_null_empty", "customer_nulls", {"select": ["c_custkey"], "orderBy": [{"key": "seg", "asc": False, "nulls": "last", "nullEmpty": True}, {"c_custkey": 1}]}, NULLS, "nullif(trim(seg), '') DESC NULLS LAST, c_custkey", with_nulls, "customer")
 query("agg_array_agg_nulls", f"SELECT seg, len(list(bal)) AS n, count(bal) AS known FROM {NULLS} GROUP BY seg", "customer")(lambda e: with_nulls(e).find("customer_nulls", {}, {"select": {"seg": 1, "all": {"$array_agg": ["bal"]}, "known": {"$count": ["bal"]}}}).select("seg", F.size("all").cast("long").alias("n"), "known"))
 
 # -- aggregates -----------------------------------------------------------------------------------
@@ -201,7 +223,7 @@ nested("nested_offset", "customer", {"select": {"c_custkey": 1, "top": {"$leftJo
 nested("nested_order", "nation", {"select": {"n_nationkey": 1, "s": {"$leftJoin": "supplier", "select": ["s_suppkey"], "orderBy": {"s_suppkey": -1}}}}, lambda d: d.select("n_nationkey", joined(F.col("s"), "s_suppkey").alias("ids")), "SELECT n_nationkey, coalesce(string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey DESC), '') AS ids FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1", "supplier")
 nested("nested_agg", "customer", {"select": {"c_custkey": 1, "o": {"$leftJoin": "orders", "select": {"o_orderstatus": 1, "n": {"$countAll": []}}, "orderBy": "o_orderstatus"}}}, lambda d: d.select("c_custkey", F.explode("o").alias("o")).select("c_custkey", "o.o_orderstatus", "o.n"), "SELECT c_custkey, o_orderstatus, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL", "orders")
 nested("nested_having", "customer", {"select": {"c_custkey": 1, "o": {"$innerJoin": "orders", "select": {"o_orderstatus": 1, "n": {"$countAll": []}}, "having": {"n": {">": 4}}}}}, lambda d: d.select("c_custkey", F.explode("o").alias("o")).select("c_custkey", "o.o_orderstatus", "o.n"), "SELECT c_custkey, o_orderstatus, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL HAVING count(*) > 4", "orders")
-nested("nested_sort_parent", "customer", {"select": {"c_custkey": 1, "orders": {"m": {"$max": ["o_totalprice"]}}}, "orderBy": [{"orders.m": -1}, {"c_custkey": 1}], "limit": 20}, lambda d: d.select("c_custkey", F.col("orders")[0]["m"].alias("m")), "SELECT c_custkey, max(o_totalprice) AS m FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 ORDER BY m DESC NULLS FIRST, c_custkey LIMIT 20", "orders")
+query("nested_sort_parent", "SELECT c_custkey, m, row_number() OVER (ORDER BY m DESC NULLS FIRST, c_custkey) AS place FROM (SELECT c_custkey, max(o_totalprice) AS m FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)", "customer", "orders")(lambda e: placed(e.find("customer", {}, {"select": {"c_custkey": 1, "orders": {"m": {"$max": ["o_totalprice"]}}}, "orderBy": [{"orders.m": -1}, {"c_custkey": 1}], "limit": None}).select("c_custkey", F.col("orders")[0]["m"].alias("m"))))
 nested("nested_repeat_alias", "customer", {"select": {"c_custkey": 1, "open": {"$leftJoin": "orders", "select": ["o_orderkey"], "filter": {"o_orderstatus": "O"}}, "done": {"$leftJoin": "orders", "select": ["o_orderkey"], "filter": {"o_orderstatus": "F"}}}}, lambda d: d.select("c_custkey", F.size("open").cast("long").alias("open"), F.size("done").cast("long").alias("done")), "SELECT c_custkey, count(o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS open, count(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS done FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1", "orders")
 nested("nested_two_hops", "customer", {"select": {"c_custkey": 1, "l": {"$leftJoin": ["orders", "lineitem"], "select": ["l_quantity"]}}}, lambda d: d.select("c_custkey", F.size("l").cast("long").alias("n")), "SELECT c_custkey, count(l_orderkey) AS n FROM customer LEFT JOIN (orders JOIN lineitem ON l_orderkey = o_orderkey) ON o_custkey = c_custkey GROUP BY 1", "orders", "lineitem")
 nested("nested_shortest_path", "region", {"select": {"r_name": 1, "supplier": {"s_suppkey": 1}}}, lambda d: d.select("r_name", F.size("supplier").cast("long").alias("n")), "SELECT r_name, count(s_suppkey) AS n FROM region LEFT JOIN (nation JOIN supplier ON s_nationkey = n_nationkey) ON n_regionkey = r_regionkey GROUP BY 1", "nation", "supplier", "customer")
@@ -345,22 +367,55 @@ query("live_changed_rows", "SELECT 'before' AS side, count(*) AS n FROM customer
 def live_changed_columns(e: Engine) -> DataFrame:
     from quillon.streaming.live import changed_columns
 
+    """Rows divisible by 5 are new, of the others those divisible by 7 are gone: every row is in a state or both."""
     before = e.catalog.table("supplier").df.where("s_suppkey % 5 <> 0")
-    after = e.catalog.table("supplier").df.where("s_suppkey % 7 <> 0").withColumn("s_acctbal", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal")))
+    after = e.catalog.table("supplier").df.where("s_suppkey % 7 <> 0 OR s_suppkey % 5 = 0").withColumn("s_acctbal", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal")))
     return changed_columns(before, after, ["s_suppkey"], ["s_name", "s_acctbal"]).select("s_suppkey", "op", F.array_join("changed", ",").alias("changed"))
 
 
-query("live_changed_columns", "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'insert' WHEN s_suppkey % 7 = 0 THEN 'delete' ELSE 'update' END AS op, CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 THEN 's_name,s_acctbal' ELSE 's_acctbal' END AS changed FROM supplier WHERE NOT (s_suppkey % 5 = 0 AND s_suppkey % 7 = 0) AND (s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 OR s_suppkey % 2 = 0)", "supplier")(live_changed_columns)
+query("live_changed_columns", "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'insert' WHEN s_suppkey % 7 = 0 THEN 'delete' ELSE 'update' END AS op, CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 THEN 's_name,s_acctbal' ELSE 's_acctbal' END AS changed FROM supplier WHERE (s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 OR s_suppkey % 2 = 0)", "supplier")(live_changed_columns)
 
 
 def sync_lww_merge(e: Engine) -> DataFrame:
+    """Every event is in one of both states: those divisible by 3 on the server, the others come in."""
     from quillon.streaming.sync import SyncChannel, merge
 
     events = e.catalog.table("events").df.select("user_id", "event_id", "event_type")
-    return merge(events.where("event_id % 3 = 0").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type")), events.where("event_id % 3 = 1"), SyncChannel(("user_id",), "event_id"))
+    last = lambda rows: rows.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"))
+    return merge(last(events.where("event_id % 3 = 0")), events.where("event_id % 3 <> 0"), SyncChannel(("user_id",), "event_id"))
+
+
+query("sync_lww_merge", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1", "events")(sync_lww_merge)
+
+
+def live_tracked_columns(e: Engine) -> DataFrame:
+    """What a subscription under $and and an order tracks, beside what it selects."""
+    from quillon.streaming.live import LiveQueries
+
+    found = LiveQueries(e).subscribe("customer", {"$and": [{"c_mktsegment": "BUILDING"}]}, {"select": ["c_custkey"], "orderBy": {"c_acctbal": -1}, "limit": 1}, print, skip_first=True)
+    return e.spark.createDataFrame([(c,) for c in sorted(found.columns)], "tracked string")
+
+
+query("live_tracked_columns", "SELECT unnest(['c_acctbal', 'c_custkey', 'c_mktsegment']) AS tracked", "customer")(live_tracked_columns)
+
+
+def rule_update_forced_filter(e: Engine) -> DataFrame:
+    c = e.as_caller({"customer": TableRules(SelectRule(), None, UpdateRule(forced_filter={"c_mktsegment": "BUILDING"}, filter_fields=["c_acctbal"]))})
+    c.write.update("customer", {"c_acctbal": {"$lt": 0}}, {"c_acctbal": 0})
+    return e.find("customer", {}, {"select": ["c_custkey", "c_acctbal"], "limit": None})
+
+
+query("rule_update_forced_filter", "SELECT c_custkey, CASE WHEN c_acctbal < 0 AND c_mktsegment = 'BUILDING' THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer", "customer")(rule_update_forced_filter)
+
+
+def rule_exists_in_delete(e: Engine) -> DataFrame:
+    """A caller may see cheap orders alone; a delete of customers with orders tests these alone."""
+    c = e.as_caller({"customer": TableRules(SelectRule(), None, None, DeleteRule()), "orders": TableRules(SelectRule(forced_filter={"o_totalprice": {"$lt": 5000}}))})
+    c.write.delete("customer", {"$existsJoined": {"orders": {}}})
+    return e.find("customer", {}, {"select": ["c_custkey"], "limit": None})
 
 
-query("sync_lww_merge", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_id % 3 IN (0, 1) GROUP BY 1", "events")(sync_lww_merge)
+query("rule_exists_in_delete", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice < 5000)", "customer", "orders")(rule_exists_in_delete)
 
 
 def json_schema_valid_rows(e: Engine) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Versioned tables in a folder: each write is a new version, and one rename makes it the current one.
+"""Versioned tables in a folder: each write is a new version, and one rename makes it there as a whole.
 
-A version is a Parquet folder v<number>; the file CURRENT names the one that readers take. Readers
-keep the version they began with. Two writers from the same version: the second is refused.
+A version is a Parquet folder v<number>, written elsewhere and moved in when it is whole; the highest is
+the current one. There is no pointer beside it that could be lost. Readers keep the version they began
+with. Two writers from the same version: the second is refused.
 """
 
 from __future__ import annotations
@@ -21,11 +22,16 @@ class TableStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def versions(self, table: str) -> list[int]:
+        """Numbers of the versions that are there, ascending."""
+        folder = self._path(f"{self.root}/{table}")
+        if not self._fs.exists(folder):
+            return []
+        found = (re.fullmatch(r"v(\d+)", status.getPath().getName()) for status in self._fs.listStatus(folder))
+        return sorted(int(x[1]) for x in found if x)
+
     def version(self, table: str) -> int | None:
-        pointer = f"{self.root}/{table}/CURRENT"
-        if not self._fs.exists(self._path(pointer)):
-            return None
-        return int(self.spark.sparkContext.wholeTextFiles(pointer).values().first())
+        return max(self.versions(table), default=None)
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         version = self.version(table) if version is None else version
@@ -34,27 +40,21 @@ class TableStore:
         return self.spark.read.parquet(f"{self.root}/{table}/v{version}")
 
     def commit(self, table: str, df: DataFrame, read_version: int | None, partition_by: tuple[str, ...] = ()) -> int:
-        """Write df as the version after read_version and make it current."""
+        """Write df as the version after read_version. A writer that dies before the rename leaves a tmp folder only."""
         new = (read_version or 0) + 1
-        held = f"{self.root}/{table}/tmp-{uuid.uuid4().hex}"
-        df.write.partitionBy(*partition_by).parquet(held)
-        target = f"{self.root}/{table}/v{new}"
-        if self.version(table) != read_version or self._fs.exists(self._path(target)) or not self._fs.rename(self._path(held), self._path(target)):
-            self._fs.delete(self._path(held), True)
+        held, target = self._path(f"{self.root}/{table}/tmp-{uuid.uuid4().hex}"), self._path(f"{self.root}/{table}/v{new}")
+        df.write.partitionBy(*partition_by).parquet(held.toString())
+        # A rename onto a folder that is there would move into it, so that is looked at first; that the folder
+        # moved is the one read back settles a race.
+        moved = self.version(table) == read_version and not self._fs.exists(target) and self._fs.rename(held, target)
+        nested = self._path(f"{target.toString()}/{held.getName()}")
+        if not moved or self._fs.exists(nested):
+            for lost in (held, nested):
+                self._fs.delete(lost, True)
             raise QueryError(f"{table} was changed by another writer since version {read_version}")
-        pointer, old = f"{self.root}/{table}/CURRENT", f"{self.root}/{table}/tmp-{uuid.uuid4().hex}"
-        stream = self._fs.create(self._path(old), True)
-        stream.write(bytearray(str(new).encode()))
-        stream.close()
-        if self._fs.exists(self._path(pointer)):
-            self._fs.delete(self._path(pointer), False)
-        self._fs.rename(self._path(old), self._path(pointer))
         return new
 
     def clean(self, table: str, keep: int = 2) -> None:
         """Delete all but the latest versions."""
-        current = self.version(table) or 0
-        for status in self._fs.listStatus(self._path(f"{self.root}/{table}")):
-            found = re.fullmatch(r"v(\d+)", status.getPath().getName())
-            if found and int(found[1]) <= current - keep:
-                self._fs.delete(status.getPath(), True)
+        for old in self.versions(table)[:-keep]:
+            self._fs.delete(self._path(f"{self.root}/{table}/v{old}"), True)

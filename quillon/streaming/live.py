@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -14,6 +15,7 @@ from quillon.engine import Engine
 from quillon.errors import QueryError
 from quillon.functions.registry import Scope
 from quillon.operators.filters import FilterScope, compile_filter
+from quillon.plans.query import ROOT, Query
 
 ACTIONS = ("insert", "update", "delete")
 
@@ -29,6 +31,10 @@ class Subscription:
     skip_first: bool = False
     throttle: float = 0.0
     related: dict[str, dict] = field(default_factory=dict)
+    failed: Callable[[Exception], None] | None = None
+    error: Exception | None = None  # the last that a delivery raised
+    last: float = float("-inf")  # when it was told last, by time.monotonic()
+    waiting: bool = False  # changes came within the throttle since
 
 
 def changed_rows(feed: DataFrame, condition: Column | None, columns: Iterable[str]) -> DataFrame:
@@ -48,14 +54,27 @@ def changed_columns(before: DataFrame, after: DataFrame, key: list[str], columns
     return joined.select(*key, op.alias("op"), F.array_compact(F.array(*tests)).alias("changed")).where(F.size("changed") > 0)
 
 
+def tested_columns(query: Query) -> set[str]:
+    """Columns of the table that a query's condition reads, the rule's own and those within groups and paths included."""
+    if query.where is None:
+        return set()
+    plan = query.source.alias(ROOT).where(query.where)._jdf.queryExecution().analyzed()
+    names = plan.references().toSeq().mkString("\x01")
+    found = {name.rsplit("#", 1)[0] for name in names.split("\x01") if name}
+    return found & set(query.source.columns)
+
+
 class LiveQueries:
     """Subscriptions of one engine. push() takes a batch of changes; attach() feeds it from a stream."""
 
     def __init__(self, engine: Engine) -> None:
         self.engine, self.subscriptions = engine, []
 
-    def subscribe(self, table: str, wanted: dict | None, params: dict | None, deliver: Callable[[DataFrame], None], actions: dict | None = None, skip_first: bool = False, throttle: float = 0.0, skip_changed_columns_check: bool = False) -> Subscription:
-        """Validates at once. actions: all true or all false; deliver gets the full result, never a delta."""
+    def subscribe(self, table: str, wanted: dict | None, params: dict | None, deliver: Callable[[DataFrame], None], actions: dict | None = None, skip_first: bool = False, throttle: float = 0.0, skip_changed_columns_check: bool = False, failed: Callable[[Exception], None] | None = None) -> Subscription:
+        """Validates at once. actions: all true or all false; deliver gets the full result, never a delta.
+
+        An error of the query or of deliver goes to failed and keeps no other subscription from being told.
+        """
         if throttle < 0:
             raise QueryError("throttle must not be negative")
         wanted, params = wanted or {}, params or {}
@@ -72,8 +91,8 @@ class LiveQueries:
                 related |= {hop.table: {} for path in paths for hop in self.engine.catalog.path(table, path)}
         tracked = None
         if not skip_changed_columns_check and all(x.kind == "column" for x in query.items):
-            tracked = frozenset(x.alias for x in query.items) | {k.split(".")[0] for k in wanted if not k.startswith("$")}
-        found = Subscription(table, wanted, params, deliver, frozenset(chosen), tracked, skip_first, throttle, related)
+            tracked = frozenset(x.alias for x in query.items) | tested_columns(query) | {k.key for k in query.order}
+        found = Subscription(table, wanted, params, deliver, frozenset(chosen), tracked, skip_first, throttle, related, failed)
         self.subscriptions.append(found)
         if not skip_first:
             deliver(self.engine.find(table, wanted, params))
@@ -86,11 +105,12 @@ class LiveQueries:
         self.subscriptions.remove(subscription)
 
     def condition(self, table: str, wanted: dict) -> Column | None:
-        """The part of a filter that a changed row alone can decide; with joins or groups everything may match."""
-        if any(k.startswith("$") for k in wanted):
-            return None
+        """What a changed row alone can decide of a filter; with joins, or names of the select, everything may match."""
         info = self.engine.catalog.table(table)
-        return compile_filter(FilterScope(Scope({c: info.dtype(c) for c in info.columns})), wanted)
+        try:
+            return compile_filter(FilterScope(Scope({c: info.dtype(c) for c in info.columns})), wanted)
+        except QueryError:
+            return None
 
     def concerned(self, subscription: Subscription, table: str, feed: DataFrame) -> bool:
         if table != subscription.table:
@@ -106,13 +126,25 @@ class LiveQueries:
     def push(self, table: str, feed: DataFrame) -> int:
         """Deliver to every subscription that a batch of changes (op, before, after) concerns. Returns how many.
 
-        A batch re-runs a query once, however many of its rows match."""
-        told = 0
-        for subscription in list(self.subscriptions):
-            if self.concerned(subscription, table, feed):
+        A batch re-runs a query once, however many of its rows match. A subscription that was told less than
+        its throttle ago waits for a later push() or flush()."""
+        for subscription in self.subscriptions:
+            if not subscription.waiting:
+                subscription.waiting = self.concerned(subscription, table, feed)
+        return self.flush()
+
+    def flush(self) -> int:
+        """Tell the subscriptions that wait and whose throttle is over. Returns how many."""
+        due = [s for s in self.subscriptions if s.waiting and time.monotonic() - s.last >= s.throttle]
+        for subscription in due:
+            subscription.waiting, subscription.last, subscription.error = False, time.monotonic(), None
+            try:
                 subscription.deliver(self.engine.find(subscription.table, subscription.filter, subscription.params))
-                told += 1
-        return told
+            except Exception as error:  # noqa: BLE001 one subscriber's error is not the others'
+                subscription.error = error
+                if subscription.failed:
+                    subscription.failed(error)
+        return len(due)
 
     def attach(self, table: str, stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame], None] | None = None, once: bool = True) -> StreamingQuery:
         """Feed push() from a stream of (op, before, after). apply changes the table first, in the same batch."""

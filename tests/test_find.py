@@ -225,3 +225,16 @@ def test_abort(e, spark):
     with pytest.raises(QueryError, match="aborted"):
         e.run_with_abort(lambda: spark.range(10**13).selectExpr("sum(id % 7)").collect(), signal)
     assert time.time() - start < 30
+
+
+def test_parents_are_cut_before_their_children_are_ranked(spark, sf_dir):
+    from quillon import queries
+
+    e = queries.engine(spark, sf_dir, "customer", "orders")
+    plan = e.find(*queries.FLAGSHIP)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("LeftOuter")
+    assert "GlobalLimit 10" in plan[join:] and plan[join:].count("LeftSemi") >= 2
+    # An order that leaves ties asks for the parents once only.
+    loose = {**queries.FLAGSHIP[2], "orderBy": [{"c_mktsegment": 1}]}
+    plan = e.find(queries.FLAGSHIP[0], {}, loose)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and len(e.find(queries.FLAGSHIP[0], {}, loose).collect()) == 10

@@ -60,3 +60,17 @@ def test_declaration(spark):
         e.write.insert("users", {"email": "a"})
     with pytest.raises(QueryError):
         declare(spark, Catalog(), {"t": {"columns": {"a": {"nope": 1}}}})
+
+
+def test_a_lost_writer_leaves_the_table_as_it_was(spark, tmp_path):
+    import os
+
+    store = TableStore(spark, str(tmp_path))
+    df = spark.range(3)
+    assert store.commit("t", df, None) == 1
+    os.makedirs(tmp_path / "t" / "tmp-dead")  # died before its rename
+    assert store.version("t") == 1 and store.commit("t", spark.range(5), 1) == 2
+    with pytest.raises(QueryError):
+        store.commit("t", spark.range(7), 1)
+    assert store.read("t").count() == 5 and store.read("t", 1).count() == 3 and store.versions("t") == [1, 2]
+    assert store.read("t", 2).count() == 5

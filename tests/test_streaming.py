@@ -81,3 +81,49 @@ def test_json_schema_column(spark):
     assert [r[0] for r in df.select(is_valid(F.col("j"), {"type": {"a": "number"}})).collect()] == [True, False, False, False]
     with pytest.raises(QueryError):
         is_valid(F.col("j"), {"type": "nonsense"})
+
+
+def test_columns_of_conditions_and_orders_are_tracked(spark):
+    e, got = small_engine(spark), []
+    live = LiveQueries(e)
+    change = spark.createDataFrame([("update", (1, "btc", 1.0), (1, "btc", 5.0), 1)], FEED)
+    for wanted, params in (
+        ({"$and": [{"price": {"$gt": 0}}]}, {"select": ["id"]}),
+        ({"$or": [{"id": 99}, {"price": 5.0}]}, {"select": ["id"]}),
+        ({"$filter": [{"$ceil": ["price"]}, ">", 0]}, {"select": ["id"]}),
+        ({}, {"select": ["id"], "orderBy": {"price": -1}, "limit": 1}),
+    ):
+        found = live.subscribe("trades", wanted, params, lambda df: got.append(1), skip_first=True)
+        assert live.push("trades", change) == 1, (wanted, params)
+        live.unsubscribe(found)
+    live.subscribe("trades", {"$and": [{"symbol": "btc"}]}, {"select": ["id"]}, lambda df: got.append(1), skip_first=True)
+    assert live.push("trades", change) == 0
+
+
+def test_forced_filters_are_tracked(spark):
+    from quillon.plans.access import SelectRule, TableRules
+
+    e = small_engine(spark).as_caller({"trades": TableRules(SelectRule(fields=["id", "symbol"], forced_filter={"price": {"$gt": 2}}))})
+    live = LiveQueries(e)
+    live.subscribe("trades", {}, {"select": ["id"]}, lambda df: None, skip_first=True)
+    assert live.push("trades", spark.createDataFrame([("update", (1, "btc", 1.0), (1, "btc", 5.0), 1)], FEED)) == 1
+
+
+def test_one_subscribers_error_is_not_the_others(spark):
+    e, got, errors = small_engine(spark), [], []
+    live = LiveQueries(e)
+    bad = live.subscribe("trades", {}, {}, lambda df: 1 / 0, skip_first=True, failed=errors.append)
+    live.subscribe("trades", {}, {}, lambda df: got.append(1), skip_first=True)
+    change = spark.createDataFrame([("insert", None, (9, "btc", 5.0), 1)], FEED)
+    assert live.push("trades", change) == 2 and got == [1]
+    assert isinstance(bad.error, ZeroDivisionError) and len(errors) == 1
+
+
+def test_throttled_pushes_are_joined(spark):
+    e, got = small_engine(spark), []
+    live = LiveQueries(e)
+    found = live.subscribe("trades", {}, {}, lambda df: got.append(1), skip_first=True, throttle=1000)
+    change = spark.createDataFrame([("insert", None, (9, "btc", 5.0), 1)], FEED)
+    assert [live.push("trades", change) for _ in range(3)] == [1, 0, 0] and live.flush() == 0
+    found.throttle = 0
+    assert live.flush() == 1 and got == [1, 1] and live.flush() == 0

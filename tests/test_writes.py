@@ -37,7 +37,7 @@ def test_nested_inserts(e):
 def test_update_delete_upsert(e):
     e.write.update("trades", {"symbol": "btc"}, {"price": 7.0})
     assert [r[2] for r in rows(e, "trades")][:3] == [7.0] * 3
-    with pytest.raises(QueryError, match="More than 1"):
+    with pytest.raises(QueryError, match="several rows"):
         e.write.update("trades", {"symbol": "btc"}, {"price": 8.0}, multi=False)
     e.write.update("various", {"id": 1}, {"jsn": {"$merge": ['{"z": 1}']}})
     assert rows(e, "various", "id", "jsn")[0] == (1, '{"a":{"b":2},"z":1}')
@@ -118,7 +118,7 @@ def test_nested_rules_and_nested_update(e):
     assert (91, "a", None) in [tuple(r) for r in e.catalog.table("trades").df.collect()]
     e.write.update("trades", {"id": 1}, {"symbol": {"id": "fresh"}})
     assert ("fresh",) in rows(e, "symbols") and e.fetch("trades", {"id": 1}, {"select": ["symbol"], "returnType": "value"}) == "fresh"
-    with pytest.raises(QueryError, match="one row"):
+    with pytest.raises(QueryError, match="several rows"):
         e.write.update("trades", {}, {"symbol": {"id": "other"}})
 
 
@@ -131,3 +131,53 @@ def test_server_functions():
     for args, user in (({"x": "a"}, "admin"), ({}, "admin"), ({"x": 1}, "guest")):
         with pytest.raises(QueryError):
             functions.call("double", args, user)
+
+
+def caller(e, **tables):
+    from quillon.plans.access import DeleteRule, SelectRule, TableRules, UpdateRule
+
+    made = {"select": SelectRule, "update": UpdateRule, "delete": DeleteRule}
+    return e.as_caller({t: TableRules(**{c: made[c](**v) for c, v in rules.items()}) for t, rules in tables.items()})
+
+
+def test_filters_of_writes_keep_to_the_callers_rules(e):
+    before = len(rows(e, "trades"))
+    c = caller(e, trades={"select": {"fields": ["id", "symbol"]}, "update": {"fields": ["symbol"]}, "delete": {}})
+    for write in (lambda w: c.write.delete("trades", w), lambda w: c.write.update("trades", w, {"symbol": "x"})):
+        with pytest.raises(QueryError):
+            write({"$exists": {"symbols": {"id": "btc"}}})  # no rule on symbols
+        with pytest.raises(QueryError):
+            write({"price": {"$gt": 0}})  # price can't be read
+    assert len(rows(e, "trades")) == before
+    c.write.delete("trades", {"id": 1})
+    assert len(rows(e, "trades")) == before - 1
+
+
+def test_forced_filter_is_not_bound_by_filter_fields(e):
+    c = caller(e, trades={"select": {}, "update": {"forced_filter": {"symbol": "btc"}, "filter_fields": ["id"]}, "delete": {"forced_filter": {"symbol": "btc"}, "filter_fields": ["id"]}})
+    eth = e.find("trades", {"symbol": "eth"}, {"select": ["id", "price"]}).collect()
+    c.write.update("trades", {"id": {"$gt": 0}}, {"price": 3.25})
+    assert {r.price for r in e.find("trades", {"symbol": "btc"}).collect()} == {3.25}
+    c.write.delete("trades", {"id": {"$gt": 0}})
+    assert e.count("trades", {"symbol": "btc"}) == 0 and e.find("trades", {"symbol": "eth"}, {"select": ["id", "price"]}).collect() == eth
+    with pytest.raises(QueryError):
+        c.write.update("trades", {"price": 1.0}, {"price": 2.0})
+
+
+def test_upsert_tests_existence_under_the_forced_filter(e):
+    from quillon.plans.access import InsertRule, SelectRule, TableRules, UpdateRule
+
+    c = e.as_caller({"trades": TableRules(SelectRule(), InsertRule(), UpdateRule(forced_filter={"symbol": "btc"}))})
+    n = e.count("trades", {})
+    c.write.upsert("trades", {"id": 1}, {"price": 8.5})  # a btc row: updated
+    assert e.count("trades", {}) == n and e.count("trades", {"price": 8.5}) == 1
+    with pytest.raises(QueryError, match="duplicate"):
+        c.write.upsert("trades", {"id": 4}, {"price": 8.5})  # an eth row: not one that the caller can update
+
+
+def test_hooks_last(e):
+    seen = []
+    e.write.after_change("trades", "delete", lambda old, gone: seen.append(gone.count()))
+    e.write.delete("trades", {"id": 1})
+    caller(e, trades={"delete": {}}).write.delete("trades", {"id": 2})
+    assert seen == [1, 1]
