@@ -15,10 +15,10 @@ values prunes anything at that radius. So texts meet by bands of minima instead:
 made of the least of ROWS orders of the shingle set, so that a pair of similarity s shares none of them
 with probability (1 - s^ROWS)^BANDS, 6e-7 at 0.8. Of texts that meet, those whose SimHashes differ in at
 most WIDE_RADIUS bits are candidates, and links are those that an exact comparison of shingle sets
-confirms. Of a group that shares a key, each text is compared with the hub of it: the text that shares keys
-with the most others, as the one does that copies were made from. What this leaves in other components is
-compared with the whole group in groups of up to SMALL_GROUP texts; in larger ones, where that would grow
-with the square of the group, with a new hub of those left, HUB_ROUNDS times.
+confirms. Of a group that shares a key, each text is first compared with the hub of it: the text that shares
+keys with the most others, as the one does that copies were made from. Then all texts of a group that still
+lie in different components are compared: those of up to SMALL_GROUP texts as pairs, those of larger ones
+in cells, one for each two blocks of the group, so that no group need fit a task and only links leave it.
 """
 
 from __future__ import annotations
@@ -44,7 +44,11 @@ SIMILAR, OF = 4, 5
 WIDE_RADIUS = 26
 #: Keys of a text, and minima in each.
 BANDS, ROWS = 20, 3
-SMALL_GROUP, HUB_ROUNDS = 64, 2
+SMALL_GROUP = 64
+#: Texts and shingles of a block of a larger group, about. A cell holds two blocks.
+BLOCK_TEXTS, BLOCK_HASHES = 4096, 1 << 21
+#: Equal minima of BANDS * ROWS that candidates of a cell must have: a pair at 0.8 has fewer with probability 2e-9.
+EQUAL_MINIMA = 28
 #: Bytes of text whose shingles are hashed at once; a longer text is cut between words.
 STRIDE = 1 << 20
 # Odd multipliers of well-known 64-bit mixers.
@@ -351,25 +355,31 @@ def arrays(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *rows]).view(np.int64)))
 
 
-def band_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """BANDS keys of each shingle set; none of an empty one."""
-    full = [x for x in sets if len(x)]
-    if not full:
-        return [x[:0] for x in sets]
-    keys = np.empty((len(full), BANDS), np.uint64)
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """The least of each of BANDS * ROWS orders of each set; no set is empty. A row for each set."""
+    out = np.empty((len(sets), BANDS * ROWS), np.uint64)
     done = 0
-    for group in runs_of(full):
+    for group in runs_of(sets):
         every, starts = np.concatenate(group), np.cumsum([0, *map(len, group[:-1])])
         order = np.empty_like(every)
-        for band in range(BANDS):
-            key = np.full(len(group), np.uint64(band + 1))
-            for row in range(ROWS):
-                np.multiply(every, ORDERS[band * ROWS + row], out=order)
-                order ^= order >> np.uint64(29)
-                order *= MIXERS[2]
-                key = mixed((key + np.minimum.reduceat(order, starts)) * MIXERS[row])
-            keys[done : done + len(group), band] = key
+        for i in range(BANDS * ROWS):
+            np.multiply(every, ORDERS[i], out=order)
+            order ^= order >> np.uint64(29)
+            order *= MIXERS[2]
+            out[done : done + len(group), i] = np.minimum.reduceat(order, starts)
         done += len(group)
+    return out
+
+
+def band_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """BANDS keys of each shingle set; none of an empty one."""
+    least = minima([x for x in sets if len(x)])
+    keys = np.empty((len(least), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(least), np.uint64(band + 1))
+        for row in range(ROWS):
+            key = mixed((key + least[:, band * ROWS + row]) * MIXERS[row])
+        keys[:, band] = key
     rows = iter(keys)
     return [next(rows) if len(x) else x[:0] for x in sets]
 
@@ -388,7 +398,7 @@ def runs_of(sets: list[np.ndarray], size: int = 1 << 15) -> Iterator[list[np.nda
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """doc_id, 128-bit digest (high, low) of the shingle set, its SimHash fp, its keys, of rows with an id."""
+    """doc_id, 128-bit digest (high, low) of the shingle set, its SimHash fp, its size, its keys, of rows with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quiet_threads()
@@ -396,9 +406,24 @@ def marked(docs: DataFrame) -> DataFrame:
             sets = sets_of(texts)
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets), np.int64).reshape(-1, 2)
             marks = np.array([majority(x[at : at + STRIDE] for at in range(0, len(x), STRIDE)) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(np.ascontiguousarray(x)) for x in (digests[:, 0], digests[:, 1], marks)), arrays(band_keys(sets))], ["doc_id", "high", "low", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(np.ascontiguousarray(x)) for x in (digests[:, 0], digests[:, 1], marks)), pa.array([len(x) for x in sets], pa.int64()), arrays(band_keys(sets))], ["doc_id", "high", "low", "fp", "size", "keys"])
+
+    return id_text(docs).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, high long, low long, fp long, size long, keys array<long>")
+
 
-    return id_text(docs).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, high long, low long, fp long, keys array<long>")
+def able(x: str, y: str) -> str:
+    """Whether two texts, by their SimHashes and the sizes of their sets, can have the similarity."""
+    return f"bit_count({x}.fp ^ {y}.fp) <= {WIDE_RADIUS} AND least({x}.size, {y}.size) * {OF} >= greatest({x}.size, {y}.size) * {SIMILAR}"
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * OF >= (len(x) + len(y) - both) * SIMILAR
+
+
+def sets_for(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, hashes of the rows of docs that ids names."""
+    return scratch.written(shingle_sets(id_text(docs).join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")), "shingles")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -407,30 +432,61 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quiet_threads()
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.array(x.values), np.array(y.values)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both * OF >= (len(x) + len(y) - both) * SIMILAR)
+            keep = [alike(np.array(x.values), np.array(y.values)) for x, y in zip(batch.column("x"), batch.column("y"))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = scratch.written(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = scratch.written(shingle_sets(id_text(docs).join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")), "shingles")
+    sets = sets_for(ids, docs, scratch)
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
     return scratch.written(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
-def near_copies(docs: DataFrame, rounds: int = HUB_ROUNDS) -> DataFrame:
+def crossed(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join the components of rows that share a key: key, doc_id, fp, size, root, many, total.
+
+    many, total: texts and shingles of the key's group. A group is dealt into blocks by a hash of doc_id;
+    each two blocks, and each alone, are a cell, whose rows are compared but for those of one component.
+    """
+
+    def run(key: tuple, cell: pa.Table) -> pa.Table:
+        quiet_threads()
+        first, second = key[1].as_py(), key[2].as_py()
+        ids, fps, sizes, roots, blocks = (cell.column(c).to_numpy() for c in ("doc_id", "fp", "size", "root", "block"))
+        a, b, forest = [], [], Forest()
+        if len(np.unique(roots)) > 1:
+            sets = [np.array(x.values).view(np.uint64) for chunk in cell.column("hashes").chunks for x in chunk]
+            least = minima(sets).astype(np.uint8)
+            right = np.flatnonzero(blocks == second)
+            for i in np.flatnonzero(blocks == first).tolist():
+                at = right[right > i] if first == second else right
+                small, large = np.minimum(sizes[at], sizes[i]), np.maximum(sizes[at], sizes[i])
+                at = at[(np.bitwise_count((fps[at] ^ fps[i]).view(np.uint64)) <= WIDE_RADIUS) & (small * OF >= large * SIMILAR) & (roots[at] != roots[i])]
+                at = at[(least[at] == least[i]).sum(1) >= EQUAL_MINIMA]
+                for j in at.tolist():
+                    if forest.find(roots[i]) != forest.find(roots[j]) and alike(sets[i], sets[j]):
+                        forest.join(roots[i], roots[j])
+                        a.append(ids[i])
+                        b.append(ids[j])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    blocks = F.expr(f"greatest(ceil(many / {BLOCK_TEXTS}), ceil(total / {BLOCK_HASHES}))").cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(doc_id), blocks)").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id", "fp", "size", "root")
+    sets = sets_for(rows.select("doc_id").distinct(), docs, scratch)
+    cells = dealt.join(sets.hint("merge"), "doc_id")
+    return scratch.written(cells.groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct(), "links")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, component_id of every row with an id: groups by links of Jaccard similarity 0.8 or more.
 
     Shingles are of STAGE_WORDS words, or all words of a shorter text. component_id is the smallest
     doc_id reachable. Texts without words link to each other. Texts under one id count as one. A table
-    in the shared folder. A link is missed if its texts share no key, see BANDS, or if all keys they
-    share are of groups of more than SMALL_GROUP texts, no hub of these joins them, and nothing else
-    does; with as many rounds as the largest group has members none is missed for the latter reason.
+    in the shared folder. Groups of every size are compared whole; a link is missed only if its texts
+    share no key (6e-7 at similarity 0.8, less above) or fail the tests of candidates (2e-8).
     """
     with Scratch(docs.sparkSession) as scratch:
         marks = scratch.written(marked(docs), "marks")
@@ -438,16 +494,16 @@ def near_copies(docs: DataFrame, rounds: int = HUB_ROUNDS) -> DataFrame:
         copies = marks.select("doc_id", "high", "low").join(owners.hint("merge"), ["high", "low"]).where("doc_id <> owner").select(F.col("doc_id").alias("a"), F.col("owner").alias("b"))
         # Of equal sets one, that of the smallest id, meets others.
         rows = marks.join(owners.select("high", "low", F.col("owner").alias("doc_id")).hint("merge"), ["high", "low", "doc_id"], "left_semi").dropDuplicates(["high", "low"])
-        rows = scratch.written(rows.select("doc_id", "fp", F.explode("keys").alias("key")), "keys")
-        groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+        rows = scratch.written(rows.select("doc_id", "fp", "size", F.explode("keys").alias("key")), "keys")
+        groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.sum("size").alias("total")).where("many > 1")
         met = scratch.written(rows.join(groups.hint("merge"), "key"), "met")
         weights = met.groupBy("doc_id").agg(F.sum("many").alias("weight"))
         met = scratch.written(met.join(weights.hint("merge"), "doc_id"), "weighed")
 
         def stars(some: DataFrame) -> DataFrame:
             """Each text of a group with the group's hub (a, its weight, b), where their SimHashes allow similarity."""
-            hubs = some.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "fp")).alias("hub"))
-            pairs = some.join(hubs.hint("merge"), "key").where(f"-hub.minus <> doc_id AND bit_count(fp ^ hub.fp) <= {WIDE_RADIUS}")
+            hubs = some.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "fp", "size")).alias("hub"))
+            pairs = some.alias("x").join(hubs.hint("merge"), "key").where(f"-hub.minus <> doc_id AND {able('x', 'hub')}")
             return pairs.groupBy((-F.col("hub.minus")).alias("a"), F.col("doc_id").alias("b")).agg(F.max("hub.weight").alias("weight"))
 
         def joined(roots: DataFrame, found: DataFrame) -> DataFrame:
@@ -457,10 +513,10 @@ def near_copies(docs: DataFrame, rounds: int = HUB_ROUNDS) -> DataFrame:
             return components(found.union(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b"))), scratch)
 
         def rooted(some: DataFrame, roots: DataFrame) -> DataFrame:
-            """Rows with the root of each text, and whether it is not that of its group's heaviest."""
+            """Rows of groups in several components, with the root of each text, and whether it is not that of its group's heaviest."""
             named = some.join(roots.select(F.col("vertex").alias("doc_id"), "root").hint("merge"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-            most = named.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "root")).alias("top"))
-            return scratch.written(named.join(most.hint("merge"), "key").withColumn("outside", F.expr("root <> top.root")).drop("top"), "rooted")
+            most = named.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "root")).alias("top"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+            return scratch.written(named.join(most.hint("merge"), "key").withColumn("outside", F.expr("root <> top.root")).drop("top", "low", "high"), "rooted")
 
         def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
             """Those of the pairs that lie in two components yet."""
@@ -471,18 +527,14 @@ def near_copies(docs: DataFrame, rounds: int = HUB_ROUNDS) -> DataFrame:
         first = pairs.groupBy("b").agg(F.max_by("a", F.struct("weight", (-F.col("a")).alias("minus"))).alias("a")).select("a", "b")
         roots = components(confirmed(first, docs, scratch), scratch)
         roots = joined(roots, confirmed(apart(pairs.join(first, ["a", "b"], "left_anti"), roots), docs, scratch))
-        left = rooted(met, roots)
-        small = left.where(f"many <= {SMALL_GROUP}")
+        small = rooted(met.where(f"many <= {SMALL_GROUP}"), roots)
         # Of two rows in different components one at least lies outside that of the heaviest.
-        condition = f"x.key = y.key AND x.root <> y.root AND (NOT y.outside OR x.doc_id < y.doc_id) AND bit_count(x.fp ^ y.fp) <= {WIDE_RADIUS}"
+        condition = f"x.key = y.key AND x.root <> y.root AND (NOT y.outside OR x.doc_id < y.doc_id) AND {able('x', 'y')}"
         more = small.where("outside").alias("x").join(small.alias("y").hint("merge"), F.expr(condition)).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
         roots = joined(roots, confirmed(more, docs, scratch))
-        for _ in range(rounds):
-            left = left.where(f"many > {SMALL_GROUP} AND outside").select(met.columns)
-            if left.isEmpty():
-                break
-            roots = joined(roots, confirmed(apart(stars(left), roots), docs, scratch))
-            left = rooted(left, roots)
+        large = rooted(met.where(f"many > {SMALL_GROUP}"), roots)
+        if not large.isEmpty():
+            roots = joined(roots, crossed(large, docs, scratch))
         roots = components(copies.union(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b"))), scratch)
         return written(marks.select("doc_id").join(roots.hint("merge"), F.col("doc_id") == F.col("vertex"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id")), "near-copies")
 

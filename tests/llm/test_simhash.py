@@ -212,3 +212,38 @@ def test_large_group_about_one_text_and_its_outliers(spark, monkeypatch):
     alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
     assert sum(alike(i, i + 1) for i in range(199)) < 40
     assert got == {i: (0 if i <= 500 else i) for i, _ in rows} and all(alike(i, 500) for i in range(200))
+
+
+def test_links_between_texts_that_are_no_hubs(spark, monkeypatch):
+    """Chains whose texts are like their neighbours only, all in large groups that many blocks hold."""
+    rng = np.random.default_rng(16)
+    rows = []
+    base = [f"b{x}" for x in range(100)]
+    for chain in range(12):
+        now = base[:70] + [f"c{chain}x{j}" for j in range(30)]
+        for step in range(25):
+            rows.append((len(rows), " ".join(now)))
+            for at in rng.choice(20, 2, replace=False):
+                now[int(at) * 5] = f"s{chain}x{step}x{at}"
+    ids = rng.permutation(len(rows)).tolist()
+    rows = [(ids[i], t) for i, t in rows]
+    sets = {i: set(simhash.shingle_set(t).tolist()) for i, t in rows}
+    best = {i: i for i, _ in rows}
+    links = [(i, j) for i in best for j in best if i < j and len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j])]
+    for _ in range(len(rows)):
+        before = dict(best)
+        for i, j in links:
+            best[i] = best[j] = min(best[i], best[j])
+        if best == before:
+            break
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(set(best.values())) > 1
+    for texts in (4096, 16):
+        with monkeypatch.context() as m:
+            m.setattr(simhash, "SMALL_GROUP", 2)
+            m.setattr(simhash, "BLOCK_TEXTS", texts)
+            seen = []
+            crossed = simhash.crossed
+            m.setattr(simhash, "crossed", lambda large, *more: seen.append(large.agg({"many": "max"}).first()[0]) or crossed(large, *more))
+            assert dict(simhash.near_copies(docs).collect()) == best
+            assert seen and seen[0] > 16
