@@ -3,8 +3,8 @@
 Documents are taken in batches of ascending doc_id. A batch's line hashes, each with the smallest
 doc_id that holds it, are merge-anti-joined with the runs written before; what is new becomes a run
 of its own, bucketed and sorted by hash, so that later joins need not shuffle it. Whenever FANOUT
-runs stand on a level they are compacted to one run of the next level. In the end every hash stands
-in one run with its owner, the smallest doc_id that holds the line.
+runs stand on a level they are compacted to one run of the next level, unless no batch is to come. In
+the end every hash stands in one run with its owner, the smallest doc_id that holds the line.
 """
 
 from __future__ import annotations
@@ -47,11 +47,11 @@ def long_lines(docs: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """Runs of (h1, h2, owner), at most FANOUT - 1 on each level. They are deleted on exit."""
+    """Runs of (h1, h2, owner), at most FANOUT - 1 on each level but after the last batch. They are deleted on exit."""
 
     def __init__(self, spark: SparkSession, buckets: int) -> None:
         self.spark, self.buckets = spark, min(buckets, MOST_BUCKETS)
-        self.levels: list[list[str]] = []
+        self.levels: list[list[str]] = [[]]
         self.paths: dict[str, str] = {}
 
     def __enter__(self) -> LineRuns:
@@ -75,26 +75,29 @@ class LineRuns:
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
-    def add(self, batch: DataFrame) -> None:
-        """batch: doc, h1, h2; no doc of it is smaller than any of the batches before."""
+    def add(self, batch: DataFrame, last: bool = False) -> None:
+        """batch: doc, h1, h2; no doc of it is smaller than any of the batches before. After the last, runs are read as they are."""
         fresh = batch.groupBy("h1", "h2").agg(F.min("doc").alias("owner"))
         for run in self.tables():
             fresh = fresh.join(run.hint("merge"), ["h1", "h2"], "left_anti")
-        name, level = self._write(fresh), 0
-        while True:
-            if level == len(self.levels):
-                self.levels.append([])
-            self.levels[level].append(name)
-            if len(self.levels[level]) < FANOUT:
+        self.levels[0].append(self._write(fresh))
+        if not last:
+            self._compact()
+
+    def _compact(self) -> None:
+        """Merge the runs of each full level into one of the next."""
+        for level, names in enumerate(self.levels):
+            if len(names) < FANOUT:
                 return
-            merged = self.spark.table(self.levels[level][0])
-            for other in self.levels[level][1:]:
+            merged = self.spark.table(names[0])
+            for other in names[1:]:
                 merged = merged.unionByName(self.spark.table(other))
-            name = self._write(merged)
-            for old in self.levels[level]:
+            if level + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[level + 1].append(self._write(merged))
+            for old in names:
                 self._drop(old)
             self.levels[level] = []
-            level += 1
 
     def owners(self) -> DataFrame:
         first, *rest = self.tables()
@@ -115,7 +118,7 @@ def dropped_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         stored = scratch.written(lines.withColumn("batch", number), "lines")
         with LineRuns(spark, part_count(stored)) as runs:
             for i in range(len(bounds) + 1):
-                runs.add(stored.where(F.col("batch") == i).select("doc", "h1", "h2"))
+                runs.add(stored.where(F.col("batch") == i).select("doc", "h1", "h2"), last=i == len(bounds))
             gone = stored.join(runs.owners(), ["h1", "h2"]).where("owner < doc")
             return written(gone.groupBy("doc", "body").agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone")
 
