@@ -10,20 +10,18 @@ the corpus and must not be broadcast. A task reports a spanning forest of its li
 subtrees that lie in the searcher's component are skipped. Star contraction joins the forests.
 
 The pipeline's stage takes another contract: shingles of five words and Jaccard similarity of 0.8 or
-more. The SimHashes of such texts differ in 10 bits on average and in 20 at times, and no tree of 64-bit
-values prunes anything at that radius. So texts meet by bands of minima instead: each of BANDS keys is
-made of the least of ROWS orders of the shingle set, so that a pair of similarity s shares none of them
-with probability (1 - s^ROWS)^BANDS, 6e-7 at 0.8. Of texts that meet, those whose SimHashes differ in at
-most WIDE_RADIUS bits are candidates, and links are those that an exact comparison of shingle sets
-confirms. Of a group that shares a key, each text is first compared with the hub of it: the text that shares
-keys with the most others, as the one does that copies were made from. Then all texts of a group that still
-lie in different components are compared: those of up to SMALL_GROUP texts as pairs, those of larger ones
-in cells, one for each two blocks of the group, so that no group need fit a task and only links leave it.
+more. The SimHashes of such texts differ in 10 bits on average and in 20 at times, so that its trees are
+searched with WIDE_RADIUS, and what a search finds are candidates; links are those that an exact comparison
+of shingle sets confirms. No agreement of blocks names shards at that radius. They are named by bands of minima:
+each of BANDS keys is made of the least of ROWS orders of the shingle set, so that a pair of similarity s
+shares none of them with probability (1 - s^ROWS)^BANDS, 6e-7 at 0.8. Keys that the same texts share are one
+shard. A large shard is dealt into blocks, with a tree each; then each block's tree is searched by the texts of each
+other block that lie in other components, so that no shard need fit a task and only links leave it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -44,6 +42,7 @@ SIMILAR, OF = 4, 5
 WIDE_RADIUS = 26
 #: Keys of a text, and minima in each.
 BANDS, ROWS = 20, 3
+#: Texts of a shard from which candidates are first compared by their minima.
 SMALL_GROUP = 64
 #: Texts and shingles of a block of a larger group, about. A cell holds two blocks.
 BLOCK_TEXTS, BLOCK_HASHES = 4096, 1 << 21
@@ -126,8 +125,9 @@ class Forest:
 class BKTree:
     """Fingerprints with an owner each. one[i]: an owner, if all owners below node i were joined to it; else None."""
 
-    def __init__(self, forest: Forest) -> None:
-        self.forest = forest
+    def __init__(self, forest: Forest, radius: int = RADIUS, confirm: Callable[[int, int], bool] | None = None) -> None:
+        """confirm: an exact check of two owners within the radius; without, all such are linked."""
+        self.forest, self.radius, self.confirm = forest, radius, confirm
         self.values: list[int] = []
         self.owners: list[int] = []
         self.children: list[dict[int, int]] = []
@@ -135,21 +135,34 @@ class BKTree:
 
     def link_and_add(self, value: int, owner: int) -> list[int]:
         """Join owner to every component within the radius, then add it. Returns one neighbour for each."""
+        links = self.link(value, owner)
+        self.add(value, owner)
+        return links
+
+    def link(self, value: int, owner: int) -> list[int]:
+        """Join owner to every component within the radius. Returns one neighbour for each."""
         if not self.values:
-            self._new(value, owner)
             return []
-        values, children, find, links = self.values, self.children, self.forest.find, []
+        values, owners, children, radius, confirm, find, links = self.values, self.owners, self.children, self.radius, self.confirm, self.forest.find, []
         stack, mine = [0], find(owner)
         while stack:
             at = stack.pop()
             if self.one[at] is not None and find(self.one[at]) == mine:
                 continue
             far = (values[at] ^ value).bit_count()
-            if far <= RADIUS and self.forest.join(owner, self.owners[at]):
-                links.append(self.owners[at])
+            if far <= radius and find(owners[at]) != mine and (confirm is None or confirm(owner, owners[at])):
+                self.forest.join(owner, owners[at])
+                links.append(owners[at])
                 mine = find(owner)
-            stack += [child for edge, child in children[at].items() if far - RADIUS <= edge <= far + RADIUS]
-        at = 0
+            stack += [child for edge, child in children[at].items() if far - radius <= edge <= far + radius]
+        return links
+
+    def add(self, value: int, owner: int) -> None:
+        if not self.values:
+            self._new(value, owner)
+            return
+        values, children, find = self.values, self.children, self.forest.find
+        at, mine = 0, find(owner)
         while True:
             if self.one[at] is not None and find(self.one[at]) != mine:
                 self.one[at] = None
@@ -157,7 +170,7 @@ class BKTree:
             down = children[at].get(far)
             if down is None:
                 children[at][far] = self._new(value, owner)
-                return links
+                return
             at = down
 
     def _new(self, value: int, owner: int) -> int:
@@ -411,13 +424,13 @@ def marked(docs: DataFrame) -> DataFrame:
     return id_text(docs).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, high long, low long, fp long, size long, keys array<long>")
 
 
-def able(x: str, y: str) -> str:
-    """Whether two texts, by their SimHashes and the sizes of their sets, can have the similarity."""
-    return f"bit_count({x}.fp ^ {y}.fp) <= {WIDE_RADIUS} AND least({x}.size, {y}.size) * {OF} >= greatest({x}.size, {y}.size) * {SIMILAR}"
-
-
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    """Whether two sets, ascending, have the similarity."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) * OF < len(y) * SIMILAR:
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
     return both * OF >= (len(x) + len(y) - both) * SIMILAR
 
 
@@ -426,58 +439,73 @@ def sets_for(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.written(shingle_sets(id_text(docs).join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")), "shingles")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose shingle sets have the similarity."""
+def slices(column: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a column of shingle sets."""
+    ends = column.offsets.to_numpy()
+    every = column.values.to_numpy().view(np.uint64)
+    return [every[a:b] for a, b in zip(ends, ends[1:])]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quiet_threads()
-        for batch in batches:
-            keep = [alike(np.array(x.values), np.array(y.values)) for x, y in zip(batch.column("x"), batch.column("y"))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    pairs = scratch.written(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = sets_for(ids, docs, scratch)
-    x, y = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
-    return scratch.written(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
+def searched(ids: list[int], fps: list[int], sets: list[np.ndarray], roots: list[int], blocks: list[int], first: int, second: int) -> Iterator[tuple[int, int]]:
+    """Links (a, b) of one cell: a BK-tree of the SimHashes of block first, searched by the texts of block second.
 
-def crossed(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that join the components of rows that share a key: key, doc_id, fp, size, root, many, total.
-
-    many, total: texts and shingles of the key's group. A group is dealt into blocks by a hash of doc_id;
-    each two blocks, and each alone, are a cell, whose rows are compared but for those of one component.
+    A block's own cell (first = second) searches before it adds each text. Texts of one root are joined from the start.
+    """
+    forest, known = Forest(), {}
+    for i, root in enumerate(roots):
+        forest.join(known.setdefault(root, i), i)
+    least = minima(sets).astype(np.uint8) if len(ids) > SMALL_GROUP else None
+
+    def confirm(i: int, j: int) -> bool:
+        small, large = sorted((len(sets[i]), len(sets[j])))
+        if small * OF < large * SIMILAR or least is not None and np.count_nonzero(least[i] == least[j]) < EQUAL_MINIMA:
+            return False
+        return alike(sets[i], sets[j])
+
+    tree = BKTree(forest, WIDE_RADIUS, confirm)
+    for i in sorted(range(len(ids)), key=lambda i: blocks[i] != first):
+        value = fps[i] & (1 << 64) - 1
+        if blocks[i] == second:
+            for j in tree.link(value, i):
+                yield ids[i], ids[j]
+        if blocks[i] == first:
+            tree.add(value, i)
+
+
+def crossed(rows: DataFrame, sets: DataFrame, scratch: Scratch, within: bool) -> DataFrame:
+    """Links (a, b) that join the components of rows that share a shard: key, doc_id, fp, root, many, total.
+
+    many, total: texts and shingles of the shard. A shard is dealt into blocks by a hash of doc_id. within: each block
+    is a cell, searched by its own texts; else each two blocks are. sets: doc_id, hashes. Memory: a cell and its links.
     """
 
-    def run(key: tuple, cell: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quiet_threads()
-        first, second = key[1].as_py(), key[2].as_py()
-        ids, fps, sizes, roots, blocks = (cell.column(c).to_numpy() for c in ("doc_id", "fp", "size", "root", "block"))
-        a, b, forest = [], [], Forest()
-        if len(np.unique(roots)) > 1:
-            sets = [np.array(x.values).view(np.uint64) for chunk in cell.column("hashes").chunks for x in chunk]
-            least = minima(sets).astype(np.uint8)
-            right = np.flatnonzero(blocks == second)
-            for i in np.flatnonzero(blocks == first).tolist():
-                at = right[right > i] if first == second else right
-                small, large = np.minimum(sizes[at], sizes[i]), np.maximum(sizes[at], sizes[i])
-                at = at[(np.bitwise_count((fps[at] ^ fps[i]).view(np.uint64)) <= WIDE_RADIUS) & (small * OF >= large * SIMILAR) & (roots[at] != roots[i])]
-                at = at[(least[at] == least[i]).sum(1) >= EQUAL_MINIMA]
-                for j in at.tolist():
-                    if forest.find(roots[i]) != forest.find(roots[j]) and alike(sets[i], sets[j]):
-                        forest.join(roots[i], roots[j])
-                        a.append(ids[i])
-                        b.append(ids[j])
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        cell, current = ([], [], [], [], []), None
+        for batch in batches:
+            a, b = [], []
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "p", "q"))))
+            columns = [*(batch.column(c).to_pylist() for c in ("doc_id", "fp")), slices(batch.column("hashes")), *(batch.column(c).to_pylist() for c in ("root", "block"))]
+            for key, *row in zip(keys, *columns):
+                if key != current:
+                    for x, y in searched(*cell, *current[1:]) if current else ():
+                        a.append(x)
+                        b.append(y)
+                    cell, current = ([], [], [], [], []), key
+                for held, value in zip(cell, row):
+                    held.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        if current:
+            found = list(searched(*cell, *current[1:]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     blocks = F.expr(f"greatest(ceil(many / {BLOCK_TEXTS}), ceil(total / {BLOCK_HASHES}))").cast("int")
     dealt = rows.withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(doc_id), blocks)").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id", "fp", "size", "root")
-    sets = sets_for(rows.select("doc_id").distinct(), docs, scratch)
-    cells = dealt.join(sets.hint("merge"), "doc_id")
-    return scratch.written(cells.groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct(), "links")
+    others = F.col("block") if within else F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x <> block)"))
+    dealt = dealt.where("within OR blocks > 1".replace("within", str(within))).withColumn("other", others)
+    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id", "fp", "root")
+    cells = dealt.join(sets.hint("merge"), "doc_id").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return scratch.written(cells.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -485,8 +513,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     Shingles are of STAGE_WORDS words, or all words of a shorter text. component_id is the smallest
     doc_id reachable. Texts without words link to each other. Texts under one id count as one. A table
-    in the shared folder. Groups of every size are compared whole; a link is missed only if its texts
-    share no key (6e-7 at similarity 0.8, less above) or fail the tests of candidates (2e-8).
+    in the shared folder. SimHashes meet in BK-trees; shards of every size are searched whole. A link is missed only if its
+    texts share no shard (6e-7 at similarity 0.8, less above) or fail the tests of candidates (2e-8).
     """
     with Scratch(docs.sparkSession) as scratch:
         marks = scratch.written(marked(docs), "marks")
@@ -495,47 +523,22 @@ def near_copies(docs: DataFrame) -> DataFrame:
         # Of equal sets one, that of the smallest id, meets others.
         rows = marks.join(owners.select("high", "low", F.col("owner").alias("doc_id")).hint("merge"), ["high", "low", "doc_id"], "left_semi").dropDuplicates(["high", "low"])
         rows = scratch.written(rows.select("doc_id", "fp", "size", F.explode("keys").alias("key")), "keys")
-        groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.sum("size").alias("total")).where("many > 1")
-        met = scratch.written(rows.join(groups.hint("merge"), "key"), "met")
-        weights = met.groupBy("doc_id").agg(F.sum("many").alias("weight"))
-        met = scratch.written(met.join(weights.hint("merge"), "doc_id"), "weighed")
-
-        def stars(some: DataFrame) -> DataFrame:
-            """Each text of a group with the group's hub (a, its weight, b), where their SimHashes allow similarity."""
-            hubs = some.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "fp", "size")).alias("hub"))
-            pairs = some.alias("x").join(hubs.hint("merge"), "key").where(f"-hub.minus <> doc_id AND {able('x', 'hub')}")
-            return pairs.groupBy((-F.col("hub.minus")).alias("a"), F.col("doc_id").alias("b")).agg(F.max("hub.weight").alias("weight"))
-
-        def joined(roots: DataFrame, found: DataFrame) -> DataFrame:
-            """The roots after more links."""
-            if found.isEmpty():
-                return roots
-            return components(found.union(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b"))), scratch)
-
-        def rooted(some: DataFrame, roots: DataFrame) -> DataFrame:
-            """Rows of groups in several components, with the root of each text, and whether it is not that of its group's heaviest."""
-            named = some.join(roots.select(F.col("vertex").alias("doc_id"), "root").hint("merge"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-            most = named.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"), "root")).alias("top"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-            return scratch.written(named.join(most.hint("merge"), "key").withColumn("outside", F.expr("root <> top.root")).drop("top", "low", "high"), "rooted")
-
-        def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-            """Those of the pairs that lie in two components yet."""
-            root = lambda x: roots.select(F.col("vertex").alias(x), F.col("root").alias(f"{x}_root")).hint("merge")
-            return pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
-
-        pairs = scratch.written(stars(met), "stars")
-        first = pairs.groupBy("b").agg(F.max_by("a", F.struct("weight", (-F.col("a")).alias("minus"))).alias("a")).select("a", "b")
-        roots = components(confirmed(first, docs, scratch), scratch)
-        roots = joined(roots, confirmed(apart(pairs.join(first, ["a", "b"], "left_anti"), roots), docs, scratch))
-        small = rooted(met.where(f"many <= {SMALL_GROUP}"), roots)
-        # Of two rows in different components one at least lies outside that of the heaviest.
-        condition = f"x.key = y.key AND x.root <> y.root AND (NOT y.outside OR x.doc_id < y.doc_id) AND {able('x', 'y')}"
-        more = small.where("outside").alias("x").join(small.alias("y").hint("merge"), F.expr(condition)).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-        roots = joined(roots, confirmed(more, docs, scratch))
-        large = rooted(met.where(f"many > {SMALL_GROUP}"), roots)
+        # Keys that the same texts share, by 128 bits of hashes of these, are one shard.
+        one, two = F.xxhash64("doc_id", "fp"), F.xxhash64(F.lit(SEED), "doc_id", "fp")
+        low, high = two.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(two, 32)
+        groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.sum("size").alias("total"), F.bit_xor(one).alias("x"), F.sum(low).alias("y"), F.sum(high).alias("z")).where("many > 1")
+        shards = groups.groupBy("many", "total", "x", "y", "z").agg(F.min("key").alias("key")).select("key", "many", "total")
+        met = scratch.written(rows.join(shards.hint("merge"), "key").select("key", "doc_id", "fp", "many", "total", F.col("doc_id").alias("root")), "met")
+        sets = sets_for(met.select("doc_id").distinct(), docs, scratch)
+        roots = components(copies.union(crossed(met, sets, scratch, True)), scratch)
+        large = met.where(f"many > {BLOCK_TEXTS} OR total > {BLOCK_HASHES}")
         if not large.isEmpty():
-            roots = joined(roots, crossed(large, docs, scratch))
-        roots = components(copies.union(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b"))), scratch)
+            # Of shards of several blocks, those whose texts lie in several components yet.
+            named = large.drop("root").join(roots.select(F.col("vertex").alias("doc_id"), "root").hint("merge"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+            named = scratch.written(named, "rooted")
+            several = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+            more = crossed(named.join(several.hint("merge"), "key", "left_semi"), sets, scratch, False)
+            roots = components(more.union(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b"))), scratch)
         return written(marks.select("doc_id").join(roots.hint("merge"), F.col("doc_id") == F.col("vertex"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id")), "near-copies")
 
 

@@ -247,3 +247,40 @@ def test_links_between_texts_that_are_no_hubs(spark, monkeypatch):
             m.setattr(simhash, "crossed", lambda large, *more: seen.append(large.agg({"many": "max"}).first()[0]) or crossed(large, *more))
             assert dict(simhash.near_copies(docs).collect()) == best
             assert seen and seen[0] > 16
+
+
+def test_stage_searches_trees_of_simhashes(monkeypatch):
+    """The stage's candidates come from BK-trees with the wide radius; one tree, and two blocks' trees, give the links of all pairs."""
+    rng = np.random.default_rng(17)
+    sets = [x for x in simhash.sets_of(near_texts(rng)) if len(x)]
+    sets = list({x.tobytes(): x for x in sets}.values())
+    fps = [simhash.majority([x]) for x in sets]
+    ids = list(range(len(sets)))
+
+    def parts(links):
+        forest = simhash.Forest()
+        for a, b in links:
+            forest.join(a, b)
+        return [forest.find(i) for i in ids]
+
+    want = parts((i, j) for i in ids for j in range(i) if len(np.intersect1d(sets[i], sets[j])) * 5 >= 4 * len(np.union1d(sets[i], sets[j])))
+    radii, tree = [], simhash.BKTree
+    monkeypatch.setattr(simhash, "BKTree", lambda forest, radius, confirm: radii.append(radius) or tree(forest, radius, confirm))
+    one = list(simhash.searched(ids, fps, sets, ids, [0] * len(ids), 0, 0))
+    assert parts(one) == want and len(one) == len(ids) - len(set(want))
+    block, found = [i % 2 for i in ids], []
+    for b in (0, 1):
+        own = [i for i in ids if block[i] == b]
+        found += simhash.searched(own, [fps[i] for i in own], [sets[i] for i in own], own, [b] * len(own), b, b)
+    roots = parts(found)
+    more = list(simhash.searched(ids, fps, sets, roots, block, 0, 1))
+    assert more and parts(found + more) == want and len(found + more) == len(one)
+    assert radii == [simhash.WIDE_RADIUS] * 4
+
+
+def test_alike_counts_whole_sets():
+    rng = np.random.default_rng(18)
+    for _ in range(300):
+        x, y = (np.unique(rng.integers(0, 40, rng.integers(0, 60)).astype(np.uint64)) for _ in range(2))
+        assert simhash.alike(x, y) == (len(np.intersect1d(x, y)) * 5 >= 4 * len(np.union1d(x, y)))
+    assert simhash.alike(x[:0], x[:0])
