@@ -143,18 +143,22 @@ class BKTree:
         """Join owner to every component within the radius. Returns one neighbour for each."""
         if not self.values:
             return []
-        values, owners, children, radius, confirm, find, links = self.values, self.owners, self.children, self.radius, self.confirm, self.forest.find, []
+        values, owners, children, one = self.values, self.owners, self.children, self.one
+        radius, confirm, find, links = self.radius, self.confirm, self.forest.find, []
         stack, mine = [0], find(owner)
         while stack:
             at = stack.pop()
-            if self.one[at] is not None and find(self.one[at]) == mine:
+            below = children[at]
+            if below and one[at] is not None and find(one[at]) == mine:
                 continue
             far = (values[at] ^ value).bit_count()
             if far <= radius and find(owners[at]) != mine and (confirm is None or confirm(owner, owners[at])):
                 self.forest.join(owner, owners[at])
                 links.append(owners[at])
                 mine = find(owner)
-            stack += [child for edge, child in children[at].items() if far - radius <= edge <= far + radius]
+            if below:
+                low, high = far - radius, far + radius
+                stack += [child for edge, child in below.items() if low <= edge <= high]
         return links
 
     def add(self, value: int, owner: int) -> None:
