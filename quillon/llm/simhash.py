@@ -50,6 +50,8 @@ BLOCK_TEXTS, BLOCK_HASHES = 4096, 1 << 21
 EQUAL_MINIMA = 28
 #: Bytes of text whose shingles are hashed at once; a longer text is cut between words.
 STRIDE = 1 << 20
+#: Sets of one id that are remembered to drop repeated rows. Repeats that stay cost time and change no result.
+SEEN = 1 << 16
 # Odd multipliers of well-known 64-bit mixers.
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 SEED = 42
@@ -355,16 +357,32 @@ def shingle_set(text: str) -> np.ndarray:
     return sets_of([text])[0]
 
 
+def digests(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits of each set, as two signed longs in a row."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets), np.int64).reshape(-1, 2)
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, hashes (array of long) of every row of docs, which has doc_id and text."""
+    """doc_id, low (half the set's digest), hashes (array of long) of the rows of docs, which has doc_id and text.
+
+    Texts without words have no row: they share no shard. Of rows in succession that have one id and one set the first stays.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quiet_threads()
+        last, seen = None, set()
         for doc_ids, texts in small_batches(batches):
-            sets = sets_of(texts)
-            yield pa.RecordBatch.from_arrays([doc_ids, arrays(sets)], ["doc_id", "hashes"])
+            sets, stay = sets_of(texts), []
+            lows = digests(sets)[:, 1]
+            for i, (doc_id, low) in enumerate(zip(doc_ids.to_pylist(), lows.tolist())):
+                if doc_id != last or len(seen) > SEEN:
+                    last, seen = doc_id, set()
+                if len(sets[i]) and low not in seen:
+                    seen.add(low)
+                    stay.append(i)
+            yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(stay, pa.int64())), pa.array(lows[stay]), arrays([sets[i] for i in stay])], ["doc_id", "low", "hashes"])
 
-    return docs.mapInArrow(run, "doc_id long, hashes array<long>")
+    return docs.mapInArrow(run, "doc_id long, low long, hashes array<long>")
 
 
 def arrays(rows: list[np.ndarray]) -> pa.Array:
@@ -421,9 +439,9 @@ def marked(docs: DataFrame) -> DataFrame:
         quiet_threads()
         for doc_ids, texts in small_batches(batches):
             sets = sets_of(texts)
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets), np.int64).reshape(-1, 2)
+            halves = digests(sets)
             marks = np.array([majority(x[at : at + STRIDE] for at in range(0, len(x), STRIDE)) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(np.ascontiguousarray(x)) for x in (digests[:, 0], digests[:, 1], marks)), pa.array([len(x) for x in sets], pa.int64()), arrays(band_keys(sets))], ["doc_id", "high", "low", "fp", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(np.ascontiguousarray(x)) for x in (halves[:, 0], halves[:, 1], marks)), pa.array([len(x) for x in sets], pa.int64()), arrays(band_keys(sets))], ["doc_id", "high", "low", "fp", "size", "keys"])
 
     return id_text(docs).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, high long, low long, fp long, size long, keys array<long>")
 
@@ -439,7 +457,7 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def sets_for(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, hashes of the rows of docs that ids names."""
+    """shingle_sets() of the rows of docs that ids names."""
     return scratch.written(shingle_sets(id_text(docs).join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")), "shingles")
 
 
@@ -477,10 +495,11 @@ def searched(ids: list[int], fps: list[int], sets: list[np.ndarray], roots: list
 
 
 def crossed(rows: DataFrame, sets: DataFrame, scratch: Scratch, within: bool) -> DataFrame:
-    """Links (a, b) that join the components of rows that share a shard: key, doc_id, fp, root, many, total.
+    """Links (a, b) that join the components of rows that share a shard: key, doc_id, low, fp, root, many, total.
 
-    many, total: texts and shingles of the shard. A shard is dealt into blocks by a hash of doc_id. within: each block
-    is a cell, searched by its own texts; else each two blocks are. sets: doc_id, hashes. Memory: a cell and its links.
+    many, total: texts and shingles of the shard. A shard is dealt into blocks by low, half the digest of a text's set, and
+    a row meets the set of that digest alone, however many texts an id has. within: each block is a cell, searched by its
+    own texts; else each two blocks are. sets: doc_id, low, hashes. Memory: a cell and its links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -504,11 +523,11 @@ def crossed(rows: DataFrame, sets: DataFrame, scratch: Scratch, within: bool) ->
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     blocks = F.expr(f"greatest(ceil(many / {BLOCK_TEXTS}), ceil(total / {BLOCK_HASHES}))").cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(doc_id), blocks)").cast("int"))
+    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(doc_id, low), blocks)").cast("int"))
     others = F.col("block") if within else F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x <> block)"))
     dealt = dealt.where("within OR blocks > 1".replace("within", str(within))).withColumn("other", others)
-    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id", "fp", "root")
-    cells = dealt.join(sets.hint("merge"), "doc_id").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id", "low", "fp", "root")
+    cells = dealt.join(sets.hint("merge"), ["doc_id", "low"]).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     return scratch.written(cells.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
@@ -526,13 +545,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
         copies = marks.select("doc_id", "high", "low").join(owners.hint("merge"), ["high", "low"]).where("doc_id <> owner").select(F.col("doc_id").alias("a"), F.col("owner").alias("b"))
         # Of equal sets one, that of the smallest id, meets others.
         rows = marks.join(owners.select("high", "low", F.col("owner").alias("doc_id")).hint("merge"), ["high", "low", "doc_id"], "left_semi").dropDuplicates(["high", "low"])
-        rows = scratch.written(rows.select("doc_id", "fp", "size", F.explode("keys").alias("key")), "keys")
+        rows = scratch.written(rows.select("doc_id", "low", "fp", "size", F.explode("keys").alias("key")), "keys")
         # Keys that the same texts share, by 128 bits of hashes of these, are one shard.
-        one, two = F.xxhash64("doc_id", "fp"), F.xxhash64(F.lit(SEED), "doc_id", "fp")
-        low, high = two.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(two, 32)
-        groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.sum("size").alias("total"), F.bit_xor(one).alias("x"), F.sum(low).alias("y"), F.sum(high).alias("z")).where("many > 1")
+        one, two = F.xxhash64("doc_id", "low"), F.xxhash64(F.lit(SEED), "doc_id", "low")
+        bottom, top = two.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(two, 32)
+        groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.sum("size").alias("total"), F.bit_xor(one).alias("x"), F.sum(bottom).alias("y"), F.sum(top).alias("z")).where("many > 1")
         shards = groups.groupBy("many", "total", "x", "y", "z").agg(F.min("key").alias("key")).select("key", "many", "total")
-        met = scratch.written(rows.join(shards.hint("merge"), "key").select("key", "doc_id", "fp", "many", "total", F.col("doc_id").alias("root")), "met")
+        met = scratch.written(rows.join(shards.hint("merge"), "key").select("key", "doc_id", "low", "fp", "many", "total", F.col("doc_id").alias("root")), "met")
         sets = sets_for(met.select("doc_id").distinct(), docs, scratch)
         roots = components(copies.union(crossed(met, sets, scratch, True)), scratch)
         large = met.where(f"many > {BLOCK_TEXTS} OR total > {BLOCK_HASHES}")

@@ -249,6 +249,21 @@ def test_links_between_texts_that_are_no_hubs(spark, monkeypatch):
             assert seen and seen[0] > 16
 
 
+def test_many_texts_of_one_id_one_without_words(spark):
+    """In a group of over SMALL_GROUP texts an id has a text without words too, others have repeated rows and several texts."""
+    base = [f"w{x}" for x in range(100)]
+    near = lambda i, j: " ".join(base[:-2] + [f"n{i}", f"m{j}"])
+    rows = [(i, near(i, 0)) for i in range(10, 110)] + [(200, ""), (109, " "), (109, "")]
+    rows += [(50, near(50, j)) for j in range(5)] + [(60, near(60, 0))] * 20
+    rows += [(70, " ".join(f"x{i}" for i in range(50))), (300, " ".join(f"x{i}" for i in range(50)) + " y"), (301, "alone in the world")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        got = simhash.near_copies(docs)
+        assert dict(got.collect()) == {i: 301 if i == 301 else 10 for i, _ in rows} and got.count() == len(rows)
+    sets = simhash.shingle_sets(docs.orderBy("doc_id")).groupBy("doc_id").count()
+    assert {i: n for i, n in sets.collect() if n > 1} == {50: 5, 70: 2}
+
+
 def test_stage_searches_trees_of_simhashes(monkeypatch):
     """The stage's candidates come from BK-trees with the wide radius; one tree, and two blocks' trees, give the links of all pairs."""
     rng = np.random.default_rng(17)
