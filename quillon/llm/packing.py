@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import Scratch, quiet_threads, small_arrow_batches, written
 from quillon.llm.simhash import near_copies
-from quillon.llm.token_blocks import library_encoder
+from quillon.llm.token_counts import token_counter
 
 CAPACITY = 2048
 SHARD_DOCUMENTS = 2048
@@ -115,11 +115,11 @@ def token_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quiet_threads()
-        encoder = library_encoder(tokenizer_path)
+        counter = token_counter(tokenizer_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                _, sizes = encoder.encode(part.column(3).to_pylist())
+                sizes = counter.counts(part.column(3).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sizes + 1)], ["doc_id", "source", "cluster", "tokens"])
 
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))

@@ -46,6 +46,8 @@ BANDS, ROWS = 20, 3
 SMALL_GROUP = 64
 #: Texts and shingles of a block of a larger group, about. A cell holds two blocks.
 BLOCK_TEXTS, BLOCK_HASHES = 4096, 1 << 21
+#: Texts of a cell from which a text's shingles are marked for all its comparisons, and shingles up to which there is memory for that.
+FEW, MARKED_HASHES = 8, 1 << 20
 #: Equal minima of BANDS * ROWS that candidates of a cell must have: a pair at 0.8 has fewer with probability 2e-9.
 EQUAL_MINIMA = 28
 #: Bytes of text whose shingles are hashed at once; a longer text is cut between words.
@@ -54,6 +56,8 @@ STRIDE = 1 << 20
 SEEN = 1 << 16
 # Odd multipliers of well-known 64-bit mixers.
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: One in every byte.
+EIGHT_ONES = np.uint64(0x0101010101010101)
 SEED = 42
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -85,6 +89,28 @@ def majority(parts: Iterable[np.ndarray]) -> int:
     return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little")
 
 
+def majorities(sets: list[np.ndarray]) -> np.ndarray:
+    """majority() of each set. Eight bits of every hash are summed at a time, each in a byte of its own, over 255 hashes at most."""
+    out = np.zeros(len(sets), np.uint64)
+    some = [i for i, x in enumerate(sets) if len(x)]
+    at = 0
+    for run in runs_of([sets[i] for i in some]):
+        here, at = some[at : at + len(run)], at + len(run)
+        if len(run[-1]) > STRIDE:
+            out[here] = [majority(x[a : a + STRIDE] for a in range(0, len(x), STRIDE)) for x in run]
+            continue
+        every, sizes = np.concatenate(run), np.fromiter(map(len, run), np.int64, len(run))
+        parts = -(-sizes // 255)
+        firsts = np.cumsum(parts) - parts
+        starts = np.repeat(np.cumsum(sizes) - sizes - firsts * 255, parts) + np.arange(parts.sum()) * 255
+        ones = np.empty((len(starts), 8, 8), np.uint8)  # part, bit of a byte, byte
+        for bit in range(8):
+            ones[:, bit] = np.add.reduceat(every >> np.uint64(bit) & EIGHT_ONES, starts).astype("<u8").view(np.uint8).reshape(-1, 8)
+        total = np.add.reduceat(ones.reshape(-1, 64), firsts, axis=0, dtype=np.int64).reshape(-1, 8, 8)
+        out[here] = np.packbits((total * 2 > sizes[:, None, None]).transpose(0, 2, 1).reshape(-1, 64), axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
 def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
     """64 bits: 1 where over half of the shingles' hashes have 1. No words: 0."""
     return majority(shingles(text, width))
@@ -440,7 +466,7 @@ def marked(docs: DataFrame) -> DataFrame:
         for doc_ids, texts in small_batches(batches):
             sets = sets_of(texts)
             halves = digests(sets)
-            marks = np.array([majority(x[at : at + STRIDE] for at in range(0, len(x), STRIDE)) for x in sets], np.uint64).view(np.int64)
+            marks = majorities(sets).view(np.int64)
             yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(np.ascontiguousarray(x)) for x in (halves[:, 0], halves[:, 1], marks)), pa.array([len(x) for x in sets], pa.int64()), arrays(band_keys(sets))], ["doc_id", "high", "low", "fp", "size", "keys"])
 
     return id_text(docs).where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, high long, low long, fp long, size long, keys array<long>")
@@ -456,6 +482,27 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
     return both * OF >= (len(x) + len(y) - both) * SIMILAR
 
 
+class Overlaps:
+    """alike() of many sets with one and the same: its shingles are marked once, and those of the others counted."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        known, place = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum([0, *map(len, sets)]).tolist()
+        place = place.astype(np.int32)
+        self.places = [place[a:b] for a, b in zip(ends, ends[1:])]
+        self.seen = np.zeros(len(known), bool)
+        self.at = None
+
+    def alike(self, i: int, j: int) -> bool:
+        if self.at != i:
+            if self.at is not None:
+                self.seen[self.places[self.at]] = False
+            self.seen[self.places[i]] = True
+            self.at = i
+        both = int(np.count_nonzero(self.seen.take(self.places[j])))
+        return both * OF >= (len(self.places[i]) + len(self.places[j]) - both) * SIMILAR
+
+
 def sets_for(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """shingle_sets() of the rows of docs that ids names."""
     return scratch.written(shingle_sets(id_text(docs).join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")), "shingles")
@@ -478,11 +525,14 @@ def searched(ids: list[int], fps: list[int], sets: list[np.ndarray], roots: list
         forest.join(known.setdefault(root, i), i)
     least = minima(sets).astype(np.uint8) if len(ids) > SMALL_GROUP else None
 
+    sizes = list(map(len, sets))
+    overlaps = Overlaps(sets) if len(ids) > FEW and sum(sizes) <= MARKED_HASHES else None
+
     def confirm(i: int, j: int) -> bool:
-        small, large = sorted((len(sets[i]), len(sets[j])))
-        if small * OF < large * SIMILAR or least is not None and np.count_nonzero(least[i] == least[j]) < EQUAL_MINIMA:
+        x, y = sizes[i], sizes[j]
+        if x * OF < y * SIMILAR or y * OF < x * SIMILAR or least is not None and np.count_nonzero(least[i] == least[j]) < EQUAL_MINIMA:
             return False
-        return alike(sets[i], sets[j])
+        return overlaps.alike(i, j) if overlaps else alike(sets[i], sets[j])
 
     tree = BKTree(forest, WIDE_RADIUS, confirm)
     for i in sorted(range(len(ids)), key=lambda i: blocks[i] != first):

@@ -299,3 +299,21 @@ def test_alike_counts_whole_sets():
         x, y = (np.unique(rng.integers(0, 40, rng.integers(0, 60)).astype(np.uint64)) for _ in range(2))
         assert simhash.alike(x, y) == (len(np.intersect1d(x, y)) * 5 >= 4 * len(np.union1d(x, y)))
     assert simhash.alike(x[:0], x[:0])
+
+
+def test_majorities_of_many_sets(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(n % 2) for n in (0, 1, 2, 254, 255, 256, 510, 511, 5000, 0, 1 << 15, 3)]
+    wanted = [simhash.majority([x]) for x in sets]
+    assert simhash.majorities(sets).tolist() == wanted and not len(simhash.majorities([]))
+    monkeypatch.setattr(simhash, "STRIDE", 400)
+    assert simhash.majorities(sets).tolist() == wanted
+
+
+def test_overlaps_with_marked_shingles():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (1, 40, 80, 120, 160, 200, 200, 300)]
+    overlaps = simhash.Overlaps(sets)
+    pairs = [(i, j) for i in (0, 5, 3, 5, 7, 6) for j in range(len(sets))]
+    got = [overlaps.alike(i, j) for i, j in pairs]
+    assert got == [simhash.alike(sets[i], sets[j]) for i, j in pairs] and 0 < sum(got) < len(got)
